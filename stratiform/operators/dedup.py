@@ -23,4 +23,12 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str], n:
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:
-    return newest_per_key(df, keys, newest, 1)
+    """The newest row of every key, chosen as in ``newest_per_key``.
+
+    Written as an aggregate: it keeps one row per key and task before the shuffle, and
+    does so even where the input already is partitioned by the key.
+    """
+    ties = [c for c in df.columns if c not in keys and c not in newest]
+    row = F.max(F.struct(*newest, *ties)).alias("_newest")
+    picked = df.groupBy(*keys).agg(row)
+    return picked.select(*(F.col(c) if c in keys else F.col("_newest")[c].alias(c) for c in df.columns))
