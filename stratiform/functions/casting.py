@@ -9,14 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+_INTEGERS = {"tinyint", "smallint", "int", "bigint"}
+
+
+def parsed_text(column: Column, data_type: T.DataType | str) -> Column:
+    """Text to a value, null where it does not parse.
+
+    A failed cast to an integer is an exception inside Spark, caught row by row. Testing
+    the form of the text first costs far less where such failures are common.
+    """
+    name = data_type if isinstance(data_type, str) else data_type.simpleString()
+    cast = column.try_cast(data_type)
+    return F.when(column.rlike(_INTEGER_TEXT), cast) if name.lower() in _INTEGERS else cast
+
+
+def _cast(source: T.DataType, name: str, data_type: T.DataType | str) -> Column | str:
+    if source == data_type:
+        return name
+    column = F.col(name)
+    is_text = isinstance(source, T.StringType)
+    return (parsed_text(column, data_type) if is_text else column.try_cast(data_type)).alias(name)
+
+
 def typed(df: DataFrame, types: Mapping[str, T.DataType | str]) -> DataFrame:
     """Cast the named columns in one projection; text that does not parse becomes null."""
-    return df.select(
-        *(
-            F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c)
-            for c in df.columns
-        )
-    )
+    return df.select(*(_cast(f.dataType, f.name, types[f.name]) if f.name in types else f.name for f in df.schema))
 
 
 def bind_by_name(df: DataFrame, schema: T.StructType | str) -> DataFrame:
@@ -26,10 +44,12 @@ def bind_by_name(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    present = set(df.columns)
+    present = {f.name: f.dataType for f in df.schema.fields}
     return df.select(
         *(
-            (F.col(f.name).try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
+            _cast(present[f.name], f.name, f.dataType)
+            if f.name in present
+            else F.lit(None).cast(f.dataType).alias(f.name)
             for f in schema.fields
         )
     )
@@ -42,7 +62,7 @@ def cast_all_to_string(df: DataFrame) -> DataFrame:
 def cell_or_default(column: Column | str, data_type: str = "double", default=0) -> Column:
     """Parse a text cell; a missing or unreadable cell is ``default``."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(column.try_cast(data_type), F.lit(default).cast(data_type))
+    return F.coalesce(parsed_text(column, data_type), F.lit(default).cast(data_type))
 
 
 def exact_mean(column: Column | str, scale: int = 2) -> Column:

@@ -30,5 +30,4 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) ->
     """
     ties = [c for c in df.columns if c not in keys and c not in newest]
     row = F.max(F.struct(*newest, *ties)).alias("_newest")
-    picked = df.groupBy(*keys).agg(row)
-    return picked.select(*(F.col(c) if c in keys else F.col("_newest")[c].alias(c) for c in df.columns))
+    return df.groupBy(*keys).agg(row).select(*keys, "_newest.*").select(*df.columns)

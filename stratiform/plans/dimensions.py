@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stratiform import sinks
 from stratiform.plans.fixed import DIMENSIONS
-from stratiform.sources.envelope import parse_envelopes, quarantined, read_envelopes, records
+from stratiform.plans.ingest import write_parsed
+from stratiform.sources.envelope import parse_envelopes, read_envelopes, records
 from stratiform.sources.tables import read_table
 
 
@@ -29,6 +28,4 @@ def run(
 ) -> None:
     """Append the staged files that the silver table does not have yet."""
     parsed = parse(read_envelopes(spark, f"{staged}/{name}*", whole_file), name)
-    bad = quarantined(parsed).withColumn("dataset", F.lit(name))
-    sinks.append(sinks.without_known(rows(parsed, name), read_table(spark, silver)), silver)
-    sinks.append(sinks.without_known(bad, read_table(spark, quarantine)), quarantine)
+    write_parsed(parsed, lambda kept: rows(kept, name), name, silver, quarantine, read_table(spark, silver))

@@ -1,0 +1,27 @@
+"""Every registered query against its SQL equivalent."""
+
+import duckdb  # noqa: F401
+import pytest
+from compare import connect, differences
+
+import __spark_entry__ as entry
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF_DIR)
+
+
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query(spark, con, name):
+    assert differences(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) == []
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
