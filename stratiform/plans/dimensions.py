@@ -28,4 +28,11 @@ def run(
 ) -> None:
     """Append the staged files that the silver table does not have yet."""
     parsed = parse(read_envelopes(spark, f"{staged}/{name}*", whole_file), name)
-    write_parsed(parsed, lambda kept: rows(kept, name), name, silver, quarantine, read_table(spark, silver))
+    write_parsed(
+        parsed,
+        lambda kept: rows(kept, name),
+        name,
+        silver,
+        quarantine,
+        lambda _: read_table(spark, silver),
+    )

@@ -19,20 +19,20 @@ def write_parsed(
     dataset: str,
     silver: str,
     quarantine: str,
-    known: DataFrame | None,
+    known: Callable[[DataFrame], DataFrame | None],
     partition_by: Sequence[str] = (),
 ) -> None:
     """Append the rows of good envelopes to silver and the bad ones to quarantine.
 
     The parsed envelopes are used twice, so they are kept on the executors' disks, the
     text only of the bad ones; a lost executor's share is parsed again. Each append skips
-    the files its own table already holds, so a rerun after a failure at any point
-    completes the work without repeating any of it.
+    the files its own table already holds (``known`` looks them up for the parsed lines),
+    so a rerun after a failure at any point completes the work without repeating any of it.
     """
     only_bad = F.when(F.col("_problem").isNotNull(), F.col("value"))
     kept = parsed.withColumn("value", only_bad).persist(StorageLevel.DISK_ONLY)
     try:
-        sinks.append(rows(sinks.without_known(kept, known)), silver, partition_by)
+        sinks.append(rows(sinks.without_known(kept, known(kept))), silver, partition_by)
         held = read_table(kept.sparkSession, quarantine)
         if held is not None:
             held = held.where(F.col("dataset") == dataset)

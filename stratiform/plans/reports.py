@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from stratiform.functions.casting import cell_or_default
 from stratiform.operators.aggregates import group_mean
 from stratiform.operators.cells import filter_wide
+from stratiform.plans.fixed import SERVING_FAMILIES
+
+
+def families(*columns: str) -> dict[str, list[str]]:
+    """The serving families cut to some columns, so that a scan gathers only their cells."""
+    return {family: [c for c in members if c in columns] for family, members in SERVING_FAMILIES.items()}
 
 
 def scatter(

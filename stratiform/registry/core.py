@@ -28,7 +28,7 @@ from stratiform.operators import (
 )
 from stratiform.registry.inputs import EVENT_RECORD, EVENT_TYPES, event_json, nullif, table
 from stratiform.session import new_path
-from stratiform.sources import parse_envelopes, quarantined, read_positional_csv, read_table, records
+from stratiform.sources import list_files, parse_envelopes, quarantined, read_positional_csv, read_table, records
 from stratiform.sources.delimited import parse_positional
 
 ORDER_FAMILIES = {
@@ -141,6 +141,14 @@ def partitioned_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path)
 
 
+def source_file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days for which a partitioned table has files, from their paths alone."""
+    path = new_path(spark, "events-listed")
+    sinks.overwrite_partitions(table(spark, sf_dir, "events").withColumns(date_parts("ts")), path, ["year", "month", "day"])
+    parts = [F.regexp_extract("path", f"{part}=([0-9]+)", 1).cast("int").alias(part) for part in ("year", "month", "day")]
+    return list_files(spark, f"{path}/*/*/*/*.parquet").select(*parts).distinct()
+
+
 def column_family_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_families(table(spark, sf_dir, "orders"), ORDER_FAMILIES)
 
@@ -229,6 +237,7 @@ QUERIES = {
     "filename_timestamp_extract": filename_timestamp_extract,
     "date_parts": order_date_parts,
     "partitioned_roundtrip": partitioned_roundtrip,
+    "source_file_listing": source_file_listing,
     "column_family_projection": column_family_projection,
     "any_not_null_filter": any_not_null_filter,
     "distinct_values": distinct_pairs,
@@ -317,6 +326,11 @@ ORACLE = {
                CAST(day(ts) AS INTEGER) AS day
         FROM events
     """,
+    "source_file_listing": """
+        SELECT DISTINCT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+               CAST(day(ts) AS INTEGER) AS day
+        FROM events
+    """,
     "column_family_projection": """
         SELECT o_orderkey, o_orderdate, o_orderpriority, o_custkey, o_totalprice FROM orders
     """,

@@ -40,8 +40,8 @@ def read_envelopes(spark: SparkSession, glob: str, whole_file: bool = False) ->
 
 
 def with_source(lines: DataFrame) -> DataFrame:
-    """Keep the text and the name of the file it came from; works on streams too."""
-    return lines.select("value", F.col("_metadata.file_name").alias("source_file"))
+    """The text and the name of its file; blank lines carry no document. Works on streams too."""
+    return lines.select("value", F.col("_metadata.file_name").alias("source_file")).where(F.trim("value") != "")
 
 
 def parse_envelopes(
@@ -53,8 +53,7 @@ def parse_envelopes(
     """Add ``_records`` and ``_problem`` to lines that have a ``value`` column.
 
     ``_problem`` is null for a good envelope (an empty array is good). ``reject`` names
-    further problems and the conditions under which they apply. Blank lines carry no
-    document and are left out.
+    further problems and the conditions under which they apply.
     """
     if isinstance(record, str):
         record = T.StructType.fromDDL(record)
@@ -71,8 +70,7 @@ def parse_envelopes(
     for name, condition in (reject or {}).items():
         problem = problem.when(condition, name)
     return (
-        lines.where(F.trim("value") != "")
-        .withColumn("_document", document)
+        lines.withColumn("_document", document)
         .withColumn("_problem", problem)
         .withColumn("_records", F.when(F.col("_problem").isNull(), F.col("_document")[field]))
         .drop("_document")
