@@ -10,18 +10,23 @@ from pyspark.sql import types as T
 
 
 _INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
-_INTEGERS = {"tinyint", "smallint", "int", "bigint"}
+_FLOAT_HINT = r"(?i)[0-9]|nan|inf"
+_TEXT_OF_TYPE = {
+    **dict.fromkeys(("tinyint", "smallint", "int", "bigint"), _INTEGER_TEXT),
+    **dict.fromkeys(("float", "double"), _FLOAT_HINT),
+}
 
 
 def parsed_text(column: Column, data_type: T.DataType | str) -> Column:
     """Text to a value, null where it does not parse.
 
-    A failed cast to an integer is an exception inside Spark, caught row by row. Testing
-    the form of the text first costs far less where such failures are common.
+    A failed cast to a number is an exception inside Spark, caught row by row. Testing the
+    text first, fully for integers and for a sign of a number otherwise, costs far less
+    where such failures are common; what passes the test is still cast with ``try_cast``.
     """
-    name = data_type if isinstance(data_type, str) else data_type.simpleString()
+    name = (data_type if isinstance(data_type, str) else data_type.simpleString()).lower()
     cast = column.try_cast(data_type)
-    return F.when(column.rlike(_INTEGER_TEXT), cast) if name.lower() in _INTEGERS else cast
+    return F.when(column.rlike(_TEXT_OF_TYPE[name]), cast) if name in _TEXT_OF_TYPE else cast
 
 
 def _cast(source: T.DataType, name: str, data_type: T.DataType | str) -> Column | str:

@@ -78,11 +78,12 @@ def wide_view(cells: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFr
     """
     listed = {c: f"{family}:{c}" for family, columns in families.items() for c in columns}
     name = F.concat_ws(":", "family", "qualifier")
+    is_listed = name.isin(*listed.values())
     wanted = cells.select(
         "row_key",
-        F.when(name.isin(*listed.values()), name).alias("name"),
-        "value",
-        "version_ts",
+        F.when(is_listed, name).alias("name"),
+        F.when(is_listed, F.col("value")).alias("value"),
+        F.when(is_listed, F.col("version_ts")).alias("version_ts"),
     )
     newest = wanted.groupBy("row_key", "name").agg(F.max(F.struct("version_ts", "value")).alias("newest"))
     entry = F.when(F.col("name").isNotNull(), F.struct("name", "newest.value"))

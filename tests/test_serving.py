@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from stratiform.functions.casting import bind_by_name
+from stratiform.functions.casting import bind_by_name, parsed_text
 from stratiform.operators import filter_wide, merge_cells, wide_to_cells, wide_view
 from stratiform.plans import reports, serving
 from stratiform.plans.fixed import SERVING_FAMILIES
@@ -141,3 +141,11 @@ def test_mean_delay(spark, published):
 def test_cells_are_text(spark, published):
     assert dict(spark.read.parquet(published).dtypes)["value"] == "string"
     assert bind_by_name(spark.createDataFrame([(1,)], "x int"), "x string, y int").first() == ("1", None)
+
+
+def test_text_to_numbers(spark):
+    texts = ["1", " 2 ", "+3", "-4", "5.0", "1e3", "NaN", "Infinity", "-inf", "n/a", "", "x1", "99999999999", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for data_type in ("int", "bigint", "double"):
+        rows = df.select(parsed_text(F.col("t"), data_type).alias("ours"), F.col("t").try_cast(data_type).alias("cast"))
+        assert [str(row.ours) for row in rows.collect()] == [str(row.cast) for row in rows.collect()]
