@@ -20,20 +20,14 @@ def wide_to_cells(
     version: str = "version_ts",
 ) -> DataFrame:
     """One row per non-null value of a family column, written as text."""
-    cells = [
-        F.struct(
-            F.lit(family).alias("family"),
-            F.lit(c).alias("qualifier"),
-            F.col(c).cast("string").alias("value"),
-        )
-        for family, columns in families.items()
-        for c in columns
+    triples = [
+        f"'{family}', '{c}', CAST(`{c}` AS STRING)" for family, columns in families.items() for c in columns
     ]
     return (
-        wide.select(
-            F.col(row_key).alias("row_key"),
-            F.inline(F.array(*cells)),
-            F.col(version).alias("version_ts"),
+        wide.selectExpr(
+            f"`{row_key}` AS row_key",
+            f"stack({len(triples)}, {', '.join(triples)}) AS (family, qualifier, value)",
+            f"`{version}` AS version_ts",
         )
         .where(F.col("value").isNotNull())
         .select(*CELL, "value", "version_ts")
@@ -88,7 +82,7 @@ def wide_view(cells: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFr
     newest = wanted.groupBy("row_key", "name").agg(F.max(F.struct("version_ts", "value")).alias("newest"))
     entry = F.when(F.col("name").isNotNull(), F.struct("name", "newest.value"))
     gathered = newest.groupBy("row_key").agg(F.map_from_entries(F.collect_list(entry)).alias("row"))
-    return gathered.select("row_key", *(F.col("row")[cell].alias(c) for c, cell in listed.items()))
+    return gathered.selectExpr("row_key", *(f"row['{cell}'] AS `{c}`" for c, cell in listed.items()))
 
 
 def filter_wide(wide: DataFrame, column: str, value: str = "", keep_missing: bool = True) -> DataFrame:
