@@ -5,33 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import neardup, quality
-from stratiform.session import new_path
-
-
-def _kept(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose id is (left_semi) or is not (left_anti) among ``ids``; null ids are in none."""
-    return docs.join(ids, "doc_id", how)
+from stratiform.llm import decontam, mixing, neardup, quality, wavelet
+from stratiform.llm.queries import tokenizer_path
+from stratiform.session import new_path, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the labelled ones among ``docs``."""
+    """Documents that the quality classifier does not reject; it learns from the labelled ones among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(docs, labels, F.lit(True))
-    scored = quality.score(docs, model)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     found = neardup.near_duplicates(docs)
-    dropped = found.where("NOT kept").select("doc_id").distinct()
-    return _kept(docs, dropped, "left_anti").select(*docs.columns)
+    return _without(docs, found.where("NOT kept").select("doc_id").distinct())
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select("doc_id").distinct())
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those that it does not take go."""
+    mixed = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return docs.join(mixed, "doc_id").withColumn("copy", copies).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files' contents, read back: doc_id, start, n_tokens, ids_crc32."""
+    return wavelet.read(wavelet.write(docs, tokenizer_path()))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``ids``; rows without id stay."""
+    return docs.join(stage(ids, "dropped"), "doc_id", "left_anti").select(*docs.columns)
 
 
 STAGES = [
     ("quality", quality_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
 ]
 
 # Learned scores are no SQL; the stages are tested against brute force instead.
@@ -41,8 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage_of in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage_of(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import langid, neardup, quality, toxicity
+from stratiform.llm import chat, decontam, langid, maxscore, mixing, neardup, ngram_lm, quality, toxicity, wavelet
 from stratiform.llm.sampling import held_out
 
 
@@ -40,8 +40,113 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram_lm.fit(docs.where(~held_out("doc_id", 7, 2)))
+    return ngram_lm.score(docs, model).select(
+        "doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read(wavelet.write(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op9_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file; it is the same on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES = {
-    run.__name__: run for run in (op1_quality_classifier, op2_language_id, op3_toxicity, op4_minhash_near_dedup)
+    run.__name__: run
+    for run in (
+        op1_quality_classifier, op2_language_id, op3_toxicity, op4_minhash_near_dedup, op5_source_mixing,
+        op6_ngram_lm, op7_wavelet_tokens, op8_chat_format, op9_maxscore_topk, op10_decontamination,
+    )
+}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op4_minhash_near_dedup": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+            FROM words
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+            FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+        ),
+        links AS (
+            SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * common >= 75 * (p.n + q.n - common)
+        ),
+        reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+        ),
+        least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+    """,
+    "op8_chat_format": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ),
+        escaped AS (
+            SELECT *, regexp_replace(regexp_replace(text, '\\', '\\\\', 'g'),
+                '(<)(\|im_start\|>|\|im_end\|>|s>|/s>|<SYS>>|</SYS>>|\|endoftext\|>)|(\[)(INST\]|/INST\])',
+                '\1\3\\\2\4', 'g') AS written
+            FROM rows
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), ''))
+                   AS loss_sha256,
+               CAST(sum(length(role) + length(written) + 23) AS BIGINT) AS formatted_chars
+        FROM escaped GROUP BY conv_id
+    """,
+    "op9_maxscore_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS parts
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.parts, c.parts), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM scored QUALIFY rank <= 10
+    """,
 }
-
-ORACLE: dict[str, str] = {}
