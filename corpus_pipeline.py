@@ -32,8 +32,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those that it does not take go."""
     mixed = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return docs.join(mixed, "doc_id").withColumn("copy", copies).select(*docs.columns)
+    taken = mixed.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return docs.join(taken.select("doc_id"), "doc_id").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ class Settings:
     threshold: float = 0.45  # least BM25 score of a passage, as a share of the item's own
     common: float = 0.15  # share of an item's own score that its commonest terms may hold unseen
     question: float = 0.6  # least share of the question's three-word runs in the passage
-    answer: float = 0.5  # least share of the answer's words in the passage
+    answer: float = 0.6  # least share of the answer's words in the passage
     least_words: int = 8  # shorter items are common phrases, not leaks
     k1: float = 1.2
     b: float = 0.75

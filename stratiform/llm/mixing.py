@@ -86,14 +86,15 @@ def _fill(lengths: np.ndarray, room: np.ndarray, budget: int) -> np.ndarray:
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int) -> np.ndarray:
     """How many documents of each length to take for at most ``budget`` words, as near as found.
 
-    Proportional shares come first, rounded down. What they leave is given to the lengths with
-    the greatest rounded-off parts, then to the longest documents, until ``table`` words or fewer
-    are left or none fits; the dynamic program fits the last words.
+    Half of ``table`` words is kept back for the dynamic program. Of the others every length
+    gets its proportional share, rounded down; what that leaves is given to the lengths with the
+    greatest rounded-off parts, then to the longest documents, until ``table`` words or fewer are
+    left or none fits. The dynamic program fits these.
     """
     total = int((lengths * counts).sum())
     if budget >= total or not len(lengths):
         return counts.copy()
-    exact = counts * (budget / total)
+    exact = counts * (max(0, budget - table // 2) / total)
     taken = np.minimum(np.floor(exact).astype(np.int64), counts)
     left = budget - int((taken * lengths).sum())
     while left < 0:  # rounding of very large sums

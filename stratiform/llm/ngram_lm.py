@@ -389,7 +389,7 @@ class Scorer:
             here = (part == k) & (numbers >= 0)
             contexts[here] = self.ranges[k][numbers[here] - k * m.range_words]
         own = np.maximum(contexts - m.discounts[1][np.minimum(contexts, 3)], 0)
-        return (own / m.pairs if m.pairs else 0.0) + m.freed / (m.words + 1)
+        return (own / m.pairs if m.pairs else np.zeros(len(numbers))) + m.freed / (m.words + 1)
 
     def _pair_parts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of distinct sorted pairs, and the freed mass (not yet divided) of their contexts."""

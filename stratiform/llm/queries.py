@@ -131,7 +131,7 @@ ORACLE: dict[str, str] = {
                CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), ''))
                    AS loss_sha256,
-               CAST(sum(length(role) + length(written) + 23) AS BIGINT) AS formatted_chars
+               CAST(sum(length(role) + length(written) + 24) AS BIGINT) AS formatted_chars
         FROM escaped GROUP BY conv_id
     """,
     "op9_maxscore_topk": """

@@ -9,6 +9,7 @@ one block per bit. Ends and ids of the documents are in the same file.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections import OrderedDict
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratiform.llm import files
+from stratiform.llm import arrays, files
 from stratiform.session import new_path, stage
 
 MAGIC = b"WVMX0001"
@@ -30,17 +31,20 @@ BLOCK_BYTES = 1 << 14
 BLOCK_BITS = BLOCK_BYTES * 8
 END_ID = 1
 SHARD_TOKENS = 1 << 23
-CACHED_WORDS = 400_000
+CACHED_WORDS = 3_000_000
 
 
 def build(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     """The bit planes of ``ids``, highest bit first, packed."""
     order = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-    planes = []
+    planes, spare = [], np.empty_like(order)
     for level in range(bits - 1, -1, -1):
-        ones = (order & order.dtype.type(1 << level)) != 0
+        ones = (order & order.dtype.type(1 << level)).astype(bool)
         planes.append(np.packbits(ones))
-        order = np.concatenate([order[~ones], order[ones]])
+        border = len(order) - int(np.count_nonzero(ones))
+        spare[border:] = order[ones]
+        spare[:border] = order[~ones]
+        order, spare = spare, order
     return planes
 
 
@@ -177,8 +181,8 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], doc_ends: np.ndarray, bits:
 class Encoder:
     """Ids of texts by a tokenizer that treats words between ASCII white space on their own.
 
-    Words are encoded once and remembered, up to ``CACHED_WORDS``; then the memory is emptied.
-    The tokenizer lowers letters, so words are kept with A-Z lowered. Texts with the start of a
+    A word is encoded once and remembered by its hash, up to ``CACHED_WORDS``; then the memory
+    is emptied. The tokenizer lowers letters, so words are known with A-Z lowered. Texts with a
     special token, which is matched before that, are encoded as they are.
     """
 
@@ -187,62 +191,82 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.special = [token.content.encode().lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = np.dtype(np.uint16 if self.bits <= 16 else np.uint32)
+        special = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = [np.zeros(0, dtype=np.uint32)]
-        self.sizes = [np.zeros(0, dtype=np.int64)]
-
-    def _learn(self, words: list[bytes]) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)  # sorted
+        self.begins = np.zeros(0, dtype=np.int64)  # of each key's ids
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=self.kind)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode words together, and tell them apart by where each id's text begins."""
+        ids, sizes = [self.ids], []
         for low in range(0, len(words), 4096):
             part = words[low : low + 4096]
-            strings = [word.decode() for word in part]
-            found = self.tokenizer.encode(" ".join(strings), add_special_tokens=False)
-            lengths = np.array([len(s) + 1 for s in strings])
-            begins = np.cumsum(lengths) - lengths
-            at = np.array([offset[0] for offset in found.offsets], dtype=np.int64)
-            owner = np.searchsorted(begins, at, "right") - 1
-            self.ids.append(np.array(found.ids, dtype=np.uint32))
-            self.sizes.append(np.bincount(owner, minlength=len(part)))
-            base = len(self.known)
-            self.known.update(zip(part, range(base, base + len(part)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            lengths = np.array([len(word) + 1 for word in part])
+            at = np.fromiter((offset[0] for offset in found.offsets), dtype=np.int64, count=len(found.ids))
+            sizes.append(np.bincount(np.searchsorted(np.cumsum(lengths), at, "right"), minlength=len(part)))
+            ids.append(np.array(found.ids, dtype=self.kind))
+        new_sizes = np.concatenate(sizes)
+        begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(new_sizes) - new_sizes])
+        self.ids = np.concatenate(ids)
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys)
+        self.keys, self.begins = keys[order], begins[order]
+        self.sizes = np.concatenate([self.sizes, new_sizes])[order]
+
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return place, self.keys[place] == hashes
+
+    def encode(self, batch: arrays.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id after it, and where each text's ids end."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.keys) > CACHED_WORDS:
             self._forget()
-        words: list[list[bytes]] = []
-        plain: dict[int, np.ndarray] = {}
-        for k, text in enumerate(texts):
-            data = text.encode().lower()
-            if any(mark in data for mark in self.special):
-                plain[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-                words.append([])
-            else:
-                words.append(data.split())
-        flat = [word for part in words for word in part]
-        missing = set(flat).difference(self.known)
-        if missing:
-            self._learn(sorted(missing))
-            self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
-        index = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
-        ids, sizes = self.ids[0], self.sizes[0]
-        begins = np.cumsum(sizes) - sizes
-        own = sizes[index]
-        ends = np.cumsum(own)
-        gather = np.repeat(begins[index] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)
-        stream = ids[gather]
-        border = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
-        pieces, out_ends, total = [], [], 0
-        end = np.array([END_ID], dtype=np.uint32)
-        for k in range(len(texts)):
-            piece = plain.get(k, stream[border[k] : border[k + 1]])
-            pieces += [piece, end]
-            total += len(piece) + 1
-            out_ends.append(total)
-        return np.concatenate(pieces) if pieces else end[:0], np.array(out_ends, dtype=np.int64)
+        found, count = arrays.words(batch), len(batch.offsets) - 1
+        distinct, back = np.unique(found.hash, return_inverse=True)
+        place, known = self._known(distinct)
+        if not known.all():
+            at = np.flatnonzero(~known[back])
+            new, first = np.unique(found.hash[at], return_index=True)
+            at = at[first]
+            words = [bytes(batch.data[a:b]).lower().decode() for a, b in zip(found.start[at], found.end[at], strict=True)]
+            self._learn(new, words)
+            place, known = self._known(distinct)
+        # Every word's ids are copied to where the words before it and the ends of texts before it leave off.
+        own = self.sizes[place][back]
+        text_sizes = np.bincount(found.doc, weights=own, minlength=count).astype(np.int64) + 1
+        ends = np.cumsum(text_sizes)
+        stops = np.cumsum(own)
+        total = int(stops[-1]) if len(stops) else 0
+        source = np.arange(total)
+        source += np.repeat(self.begins[place][back] - (stops - own), own)
+        out = np.full(int(ends[-1]) if count else 0, END_ID, dtype=self.kind)
+        keep = np.ones(len(out), dtype=bool)
+        keep[ends - 1] = False
+        out[keep] = self.ids[source]
+        return self._with_special(batch, out, ends)
+
+    def _with_special(self, batch: arrays.Texts, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in which the texts that hold a special token, in whatever case, are encoded whole."""
+        data = batch.data.tobytes() if self.special else b""
+        marks = [m.start() for m in self.special.finditer(data.lower())] if self.special else []
+        if not marks:
+            return ids, ends
+        texts = np.unique(np.searchsorted(batch.offsets, marks, "right") - 1)
+        pieces = np.split(ids, ends[:-1])
+        for k in texts:
+            text = data[batch.offsets[k] : batch.offsets[k + 1]].decode()
+            own = self.tokenizer.encode(text, add_special_tokens=False).ids
+            pieces[k] = np.array([*own, END_ID], dtype=self.kind)
+        return np.concatenate(pieces), np.cumsum([len(piece) for piece in pieces])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -283,21 +307,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, shard_toke
             return pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["part", "piece", "file", "documents", "tokens"])
 
         for batch in batches:
-            texts, batch_ids = batch.column(1), batch.column(0).to_pylist()
-            low = 0
-            while low < len(texts):
-                high, size = low, 0
-                strings = []
-                while high < len(texts) and size < 1 << 20:
-                    strings.append(texts[high].as_py() or "")
-                    size += len(strings[-1])
-                    high += 1
-                found, ends = encoder.encode(strings)
-                ids.append(found.astype(np.uint16) if encoder.bits <= 16 else found)
+            batch_ids = batch.column(0).to_pylist()
+            for first, last, texts in arrays.slices(arrays.texts(batch.column(1)), min(1 << 21, 4 * shard_tokens)):
+                found, ends = encoder.encode(texts)
+                ids.append(found)
                 sizes.append(np.diff(ends, prepend=0))
-                doc_ids += batch_ids[low:high]
+                doc_ids += batch_ids[first:last]
                 total += len(found)
-                low = high
                 if total >= shard_tokens:
                     yield flush()
                     ids, doc_ids, sizes, total, piece = [], [], [], 0, piece + 1

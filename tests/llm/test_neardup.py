@@ -1,0 +1,121 @@
+import random
+
+import numpy as np
+import pytest
+from helpers import SF_DIR, awkward, doc, frame, words
+
+from stratiform.llm import components, neardup
+
+
+def shingle_set(text, width=5):
+    own = words(text)
+    return {tuple(own[k : k + width]) for k in range(max(1, len(own) - width + 1))} if own else set()
+
+
+def brute(rows, percent=75):
+    """Component of every id, by comparing all pairs."""
+    place = {i: i for i, _ in rows}
+
+    def root(x):
+        while place[x] != x:
+            x = place[x]
+        return x
+
+    sets = [(i, shingle_set(text)) for i, text in rows]
+    for k, (a, one) in enumerate(sets):
+        for b, other in sets[:k]:
+            common = len(one & other)
+            if one and other and 100 * common >= percent * (len(one) + len(other) - common):
+                low, high = sorted((root(a), root(b)))
+                place[high] = low
+    return {i: root(i) for i in place}
+
+
+def found(df):
+    return {(r["doc_id"], r["component_id"], r["kept"]) for r in df.collect() if r["doc_id"] is not None}
+
+
+def families(seed, count=12, copies=6, length=60):
+    """Families of near copies whose members are close to the threshold, some linked by others only."""
+    draw = random.Random(seed)
+    rows = []
+    for k in range(count):
+        text = [f"w{draw.randrange(4000)}" for _ in range(length)]
+        for _ in range(copies):
+            rows.append((len(rows), " ".join(text)))
+            for _ in range(draw.randrange(4)):
+                text[draw.randrange(length)] = f"w{draw.randrange(4000)}"
+    draw.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_components_against_all_pairs(spark, block):
+    rows = families(3) + [(1000 + k, f"a b c{k % 3}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = neardup.near_duplicates(docs, neardup.Settings(block=block))
+    place = brute(rows)
+    assert found(out) == {(i, c, i == c) for i, c in place.items()}
+
+
+def test_test_table(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    out = neardup.near_duplicates(docs)
+    assert found(out) == {(i, c, i == c) for i, c in brute(rows).items()}
+    sizes = {i: len(shingle_set(text)) for i, text in rows}
+    assert {r["doc_id"]: r["n_shingles"] for r in out.collect()} == sizes
+
+
+def test_awkward_documents(spark):
+    rows = neardup.near_duplicates(frame(spark)).collect()
+    assert len(rows) == len(awkward())
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], []).append(r)
+    assert {r["component_id"] for r in by_id[7]} == {1} and not by_id[7][0]["kept"]
+    assert all(r["component_id"] == 8 and r["kept"] for r in by_id[8])
+    assert all(r["component_id"] is None and r["kept"] for r in by_id[None])
+    for i in (2, 3, 4):
+        assert by_id[i][0]["n_shingles"] == 0 and by_id[i][0]["component_id"] == i
+    assert by_id[6][0]["n_shingles"] == 1
+    assert neardup.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_a_repeated_id_joins_what_its_texts_are_linked_with(spark):
+    one, two = "a b c d e f g h", "q r s t u v w x"
+    rows = [doc(5, one), doc(5, two), doc(3, one), doc(9, two)]
+    out = neardup.near_duplicates(frame(spark, rows))
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(5, 3), (3, 3), (9, 3)}
+
+
+def test_estimate_is_near_the_similarity():
+    draw = np.random.default_rng(4)
+    for size, common in ((2000, 1700), (300, 250), (20, 18), (4, 3)):
+        for _ in range(20):
+            both = draw.integers(1, 1 << 63, common, dtype=np.uint64)
+            sets = [np.unique(np.concatenate([both, draw.integers(1, 1 << 63, size - common, dtype=np.uint64)])) for _ in "ab"]
+            a, b = (neardup.registers(s, np.array([0, len(s)])) for s in sets)
+            exact = common / (2 * size - common)
+            sizes = np.array([size]), np.array([size])
+            if exact >= 0.75:
+                assert neardup.similar(a, b, *sizes, 0.75)[0]
+    far = [draw.integers(1, 1 << 63, 2000, dtype=np.uint64) for _ in "ab"]
+    a, b = (neardup.registers(np.sort(s), np.array([0, len(s)])) for s in far)
+    assert not neardup.similar(a, b, np.array([2000]), np.array([2000]), 0.75)[0]
+
+
+def test_register_keeps_the_least_hash():
+    low = np.uint64(1) << np.uint64(40)
+    hashes = np.array([low, low << np.uint64(3)], dtype=np.uint64)
+    both = neardup.registers(hashes, np.array([0, 2]))
+    assert (both == neardup.registers(hashes[:1], np.array([0, 1]))).all()
+
+
+@pytest.mark.parametrize("shape", ["star", "chain", "none"])
+def test_connected_components(spark, shape):
+    links = {"star": [(0, k) for k in range(1, 300)], "chain": [(k, k + 1) for k in range(300)], "none": []}[shape]
+    links = [(a + 5, b + 5) for a, b in links] + ([(900, 901), (None, 4), (7000, 7000)] if links else [])
+    out = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    want = {node: 5 for pair in links[:-3] for node in pair} | ({900: 900, 901: 900, 7000: 7000} if links else {})
+    assert {r["node"]: r["component"] for r in out} == want
