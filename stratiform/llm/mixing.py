@@ -1,10 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-A source's budget in words is first spent on whole repeats of all its documents. The rest is
-less than the source's size and is filled by one more copy of some documents: documents are
-counted by exact length, each length gives a share of its documents in proportion, and a
-bounded-knapsack dynamic program over the length counts fits what remains. Only the counts are
-fitted; then each length's documents are taken in a seeded order of their ids.
+Documents of a source are counted by exact length in words. Every length gives copies in
+proportion to the source's budget, and a bounded-knapsack dynamic program over what the length
+counts still allow fits the words that remain. Only the counts are fitted; then each length's
+copies are dealt to its documents evenly, the last ones in a seeded order of their ids.
 """
 
 from __future__ import annotations
@@ -83,19 +82,22 @@ def _fill(lengths: np.ndarray, room: np.ndarray, budget: int) -> np.ndarray:
     return chosen
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int) -> np.ndarray:
-    """How many documents of each length to take for at most ``budget`` words, as near as found.
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, repeats: int, table: int) -> np.ndarray:
+    """How many copies of documents of each length to take for at most ``budget`` words, as near as found.
 
-    Half of ``table`` words is kept back for the dynamic program. Of the others every length
-    gets its proportional share, rounded down; what that leaves is given to the lengths with the
-    greatest rounded-off parts, then to the longest documents, until ``table`` words or fewer are
-    left or none fits. The dynamic program fits these.
+    No length gives more than ``repeats`` copies of all its documents. Some words are kept back
+    for the dynamic program: four times the longest document, or half of ``table`` if that is
+    less. Of the others every length gets its proportional share, rounded down; what that leaves
+    is given to the lengths with the greatest rounded-off parts, then to the longest documents,
+    until ``table`` words or fewer are left or none fits. The dynamic program fits these.
     """
+    room = counts * repeats
     total = int((lengths * counts).sum())
-    if budget >= total or not len(lengths):
-        return counts.copy()
-    exact = counts * (max(0, budget - table // 2) / total)
-    taken = np.minimum(np.floor(exact).astype(np.int64), counts)
+    if budget >= total * repeats or not len(lengths):
+        return room
+    kept_back = min(budget, table // 2, 4 * int(lengths.max()))
+    exact = counts * ((budget - kept_back) / total)
+    taken = np.minimum(np.floor(exact).astype(np.int64), room)
     left = budget - int((taken * lengths).sum())
     while left < 0:  # rounding of very large sums
         k = int(np.argmax(np.where(taken > 0, lengths, -1)))
@@ -104,22 +106,21 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int)
     for k in np.argsort(-(exact - taken), kind="stable"):
         if left <= table:
             break
-        if taken[k] < counts[k] and lengths[k] <= left - table // 2:
+        if taken[k] < room[k] and lengths[k] <= left - table // 2:
             taken[k] += 1
             left -= int(lengths[k])
     for reserve in (table // 2, 0):  # still too much: whole documents, longest first
         for k in np.argsort(-lengths, kind="stable"):
             if left <= table:
                 break
-            more = min(int(counts[k] - taken[k]), max(0, left - reserve) // int(lengths[k]))
+            more = min(int(room[k] - taken[k]), max(0, left - reserve) // int(lengths[k]))
             taken[k] += more
             left -= more * int(lengths[k])
-    ahead = min(left, table)
-    return taken + _fill(lengths, counts - taken, ahead)
+    return taken + _fill(lengths, room - taken, min(left, table))
 
 
 def _plan(sizes: DataFrame, budgets: DataFrame, settings: Settings) -> DataFrame:
-    """source_key, size, count, copies of all, and how many documents get one more.
+    """source_key, size, count, and how many copies documents of this size get in all.
 
     A group is the length counts of one source: as many rows as it has different lengths.
     """
@@ -130,11 +131,11 @@ def _plan(sizes: DataFrame, budgets: DataFrame, settings: Settings) -> DataFrame
         budget = int(table.column("budget")[0].as_py())
         taken = np.zeros(len(lengths), dtype=np.int64)
         filled = lengths > 0
-        taken[filled] = fit_counts(lengths[filled], counts[filled], budget, settings.table)
-        return pa.table({"source_key": table.column("source_key"), "size": lengths, "n": counts, "more": taken})
+        taken[filled] = fit_counts(lengths[filled], counts[filled], budget, settings.repeats, settings.table)
+        return pa.table({"source_key": table.column("source_key"), "size": lengths, "n": counts, "given": taken})
 
     return sizes.join(budgets, "source_key").groupBy("source_key").applyInArrow(
-        fit, "source_key string, size long, n long, more long"
+        fit, "source_key string, size long, n long, given long"
     )
 
 
@@ -165,12 +166,12 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     wanted = targets([row["source_size"] for row in totals], weights, settings.repeats)
     plans = []
     for row, target in zip(totals, wanted, strict=True):
-        size = row["source_size"]
-        whole = min(int(target // size), settings.repeats) if size else 0
-        plans.append((row["source_key"], size, target, whole, max(0, round(target - whole * size))))
+        plans.append((row["source_key"], row["source_size"], target, round(target)))
     spark = docs.sparkSession
-    budgets = spark.createDataFrame(plans, "source_key string, source_size long, target double, whole long, budget long")
-    plan = stage(_plan(counted, budgets.select("source_key", "budget"), settings), "plan")
+    budgets = spark.createDataFrame(plans, "source_key string, source_size long, target double, budget long")
+    plan = _plan(counted, budgets.select("source_key", "budget"), settings)
+    each = F.floor(F.col("given") / F.col("n")).cast("long")  # copies that every document of a size gets
+    plan = stage(plan.select("source_key", "size", "n", each.alias("each"), (F.col("given") - each * F.col("n")).alias("more")), "plan")
 
     # Documents of a length are cut into slots of about the root of their number by the draw: slots
     # before the border slot are taken whole, and only rows of the border slot are ordered.
@@ -180,18 +181,17 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .join(F.broadcast(budgets.drop("budget")), "source_key")
         .withColumn("slot", F.pmod(F.shiftrightunsigned("draw", 1), slots))
     )
-    partial = slotted.where("more > 0 AND more < n")
+    partial = slotted.where("more > 0")
     by_slot = partial.groupBy("source_key", "size", "slot").agg(F.first("more").alias("more"), F.count("*").alias("here"))
     running = Window.partitionBy("source_key", "size").orderBy("slot")
     by_slot = by_slot.withColumn("rest", F.col("more") - (F.sum("here").over(running) - F.col("here")))
     by_slot = stage(by_slot.drop("more"), "slots")
     slotted = slotted.join(broadcast_within(by_slot), ["source_key", "size", "slot"], "left")
     in_border = F.coalesce(F.col("rest").between(1, F.col("here") - 1), F.lit(False))
-    whole_slot = F.col("more").isNotNull() & ((F.col("more") == F.col("n")) | (F.coalesce("rest", F.lit(0)) > 0))
-    decided = slotted.where(~in_border).withColumn("extra", whole_slot.cast("int"))
+    decided = slotted.where(~in_border).withColumn("extra", (F.coalesce("rest", F.lit(0)) > 0).cast("int"))
     order = Window.partitionBy("source_key", "size", "slot").orderBy("draw", "doc_id")
     ordered = slotted.where(in_border).withColumn("extra", (F.row_number().over(order) <= F.col("rest")).cast("int"))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("each") + F.col("extra")).otherwise(0).cast("long")
     return decided.unionByName(ordered).select(
         "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies")
     )

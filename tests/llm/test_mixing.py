@@ -41,11 +41,12 @@ def test_counts_fit_the_budget(table):
         lengths = np.unique(draw.integers(1, 400, draw.integers(1, 20)))
         counts = draw.integers(1, 30, len(lengths))
         total = int((lengths * counts).sum())
-        budget = int(draw.integers(0, total + 1))
-        taken = mixing.fit_counts(lengths, counts, budget, table)
+        repeats = int(draw.integers(1, 4))
+        budget = int(draw.integers(0, total * repeats + 1))
+        taken = mixing.fit_counts(lengths, counts, budget, repeats, table)
         used = int((taken * lengths).sum())
-        assert (taken >= 0).all() and (taken <= counts).all() and used <= budget
-        assert budget - used < lengths.max() if budget < total else used == total
+        assert (taken >= 0).all() and (taken <= repeats * counts).all() and used <= budget
+        assert budget - used < lengths.max() if budget < repeats * total else used == repeats * total
 
 
 def test_knapsack_finds_the_best_sum():
