@@ -1,4 +1,4 @@
-from stratiform.functions.casting import cast_all_to_string, cell_or_default, exact_mean, typed
+from stratiform.functions.casting import cast_all_to_string, cell_or_default, mean, typed
 from stratiform.functions.dates import date_parts
 from stratiform.functions.status import status_to_boolean, status_to_text
 from stratiform.functions.text import base_name, row_key, snapshot_time
@@ -8,7 +8,7 @@ __all__ = [
     "cast_all_to_string",
     "cell_or_default",
     "date_parts",
-    "exact_mean",
+    "mean",
     "row_key",
     "snapshot_time",
     "status_to_boolean",

@@ -70,11 +70,11 @@ def cell_or_default(column: Column | str, data_type: str = "double", default=0)
     return F.coalesce(parsed_text(column, data_type), F.lit(default).cast(data_type))
 
 
-def exact_mean(column: Column | str, scale: int = 2) -> Column:
-    """Null-skipping mean whose sum is decimal.
+def mean(column: Column | str) -> Column:
+    """Mean of the values that are numbers: nulls and NaN are skipped, none gives null.
 
-    A sum of doubles depends on the order in which partial sums arrive, a decimal one
-    does not, so a rerun on another cluster gives the same digits.
+    The sum is one of doubles, so the last digits depend on the order in which partial
+    sums arrive; round where results are compared.
     """
-    column = F.col(column) if isinstance(column, str) else column
-    return F.sum(column.cast(T.DecimalType(18, scale))).cast("double") / F.count(column)
+    column = (F.col(column) if isinstance(column, str) else column).cast("double")
+    return F.avg(F.when(~F.isnan(column), column))

@@ -4,8 +4,10 @@ from stratiform.operators.cells import (
     merge_cells,
     merge_wide,
     newest_versions,
+    wide_first,
     wide_to_cells,
     wide_view,
+    wide_where,
 )
 from stratiform.operators.dedup import latest_per_key, newest_per_key
 from stratiform.operators.filters import any_not_null, membership_flag, split_by_flag
@@ -35,6 +37,8 @@ __all__ = [
     "split_by_flag",
     "union_all",
     "union_by_name",
+    "wide_first",
     "wide_to_cells",
     "wide_view",
+    "wide_where",
 ]

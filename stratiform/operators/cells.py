@@ -66,31 +66,54 @@ def merge_wide(df: DataFrame, key: str, columns: Sequence[str], newest: Sequence
 def wide_view(cells: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
     """One row per row key with the newest value of each listed cell; null where missing.
 
-    Every row key of ``cells`` is kept, also one that has none of the listed cells.
-    Values are first cut to one per cell, so what is then gathered per row key is bounded
-    by the number of listed columns, however many versions a key holds.
+    Every row key of ``cells`` is kept, also one that has none of the listed cells. One
+    exchange, by row key: each task first reduces its cells to the newest per listed column,
+    however many versions a key holds.
     """
-    listed = {c: f"{family}:{c}" for family, columns in families.items() for c in columns}
-    name = F.concat_ws(":", "family", "qualifier")
-    is_listed = name.isin(*listed.values())
-    wanted = cells.select(
-        "row_key",
-        F.when(is_listed, name).alias("name"),
-        F.when(is_listed, F.col("value")).alias("value"),
-        F.when(is_listed, F.col("version_ts")).alias("version_ts"),
-    )
-    newest = wanted.groupBy("row_key", "name").agg(F.max(F.struct("version_ts", "value")).alias("newest"))
-    entry = F.when(F.col("name").isNotNull(), F.struct("name", "newest.value"))
-    gathered = newest.groupBy("row_key").agg(F.map_from_entries(F.collect_list(entry)).alias("row"))
-    return gathered.selectExpr("row_key", *(f"row['{cell}'] AS `{c}`" for c, cell in listed.items()))
 
+    def newest(family: str, column: str) -> Column:
+        here = (F.col("family") == family) & (F.col("qualifier") == column)
+        return F.max(F.when(here, F.struct("version_ts", "value"))).alias(column)
 
-def filter_wide(wide: DataFrame, column: str, value: str = "", keep_missing: bool = True) -> DataFrame:
-    """Rows whose cell equals ``value``; an empty ``value`` keeps every row.
+    listed = [(family, column) for family, columns in families.items() for column in columns]
+    if not listed:
+        return cells.select("row_key").distinct()
+    gathered = cells.groupBy("row_key").agg(*(newest(family, column) for family, column in listed))
+    return gathered.select("row_key", *(F.col(f"`{column}`.value").alias(column) for _, column in listed))
+
+
+def wide_first(cells: DataFrame, families: Mapping[str, Sequence[str]], n: int) -> DataFrame:
+    """The first ``n`` rows of the view in key order; the cells of other keys are not gathered."""
+    first = cells.select("row_key").distinct().orderBy("row_key").limit(n)
+    return wide_view(cells.join(F.broadcast(first), "row_key", "left_semi"), families).orderBy("row_key")
+
+
+def wide_where(
+    cells: DataFrame,
+    families: Mapping[str, Sequence[str]],
+    cell: tuple[str, str],
+    value: str = "",
+    keep_missing: bool = True,
+) -> DataFrame:
+    """The view's rows whose newest value of a cell (family, qualifier) is ``value``; all for an empty one.
 
-    A column filter on a sparse store also returns the rows that lack the cell, which is
-    the default here; ``keep_missing=False`` is strict equality.
+    Keys are chosen from that cell alone, by a filter that reaches the scan, before the others
+    are gathered. A column filter on a sparse store also returns the rows that lack the cell,
+    which is the default here; ``keep_missing=False`` is strict equality.
     """
+    if value == "":
+        return wide_view(cells, families)
+    here = cells.where((F.col("family") == cell[0]) & (F.col("qualifier") == cell[1]))
+    newest = here.groupBy("row_key").agg(F.max(F.struct("version_ts", "value"))["value"].alias("value"))
+    if keep_missing:
+        kept = cells.join(newest.where(F.col("value") != value).select("row_key"), "row_key", "left_anti")
+    else:
+        kept = cells.join(newest.where(F.col("value") == value).select("row_key"), "row_key", "left_semi")
+    return wide_view(kept, families)
+
+
+def filter_wide(wide: DataFrame, column: str, value: str = "", keep_missing: bool = True) -> DataFrame:
+    """The same choice on rows that are gathered already."""
     if value == "":
         return wide
     matches = F.col(column) == value

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratiform.plans.fixed import DIMENSIONS
-from stratiform.plans.ingest import write_parsed
+from stratiform.plans.ingest import ingest_files, write_parsed
 from stratiform.sources.envelope import parse_envelopes, read_envelopes, records
-from stratiform.sources.tables import read_table
 
 
 def record_schema(name: str) -> str:
@@ -24,15 +23,21 @@ def rows(parsed: DataFrame, name: str) -> DataFrame:
 
 
 def run(
-    spark: SparkSession, name: str, staged: str, silver: str, quarantine: str, whole_file: bool = False
+    spark: SparkSession,
+    name: str,
+    staged: str,
+    silver: str,
+    quarantine: str,
+    whole_file: bool = False,
+    archive: str | None = None,
 ) -> None:
-    """Append the staged files that the silver table does not have yet."""
-    parsed = parse(read_envelopes(spark, f"{staged}/{name}*", whole_file), name)
-    write_parsed(
-        parsed,
-        lambda kept: rows(kept, name),
-        name,
-        silver,
-        quarantine,
-        lambda _: read_table(spark, silver),
-    )
+    """Append the staged files that the silver table does not have yet.
+
+    A file that arrives again with other content is another delivery; its rows are added.
+    """
+
+    def write(paths: list[str], batch: str) -> None:
+        parsed = parse(read_envelopes(spark, paths, whole_file), name)
+        write_parsed(parsed, lambda kept: rows(kept, name), name, silver, quarantine, batch)
+
+    ingest_files(spark, [f"{staged}/{name}*"], silver, write, archive)

@@ -1,17 +1,48 @@
-"""Parsed envelopes to a silver table and the quarantine."""
+"""Staged files to a silver table and the quarantine, in batches that a rerun completes."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform import sinks
-from stratiform.sources.envelope import quarantined
+from stratiform.sources.envelope import list_files, quarantined
 from stratiform.sources.tables import read_table
 
+DATASET = "dataset"
+
+
+def ingest_files(
+    spark: SparkSession,
+    globs: Sequence[str],
+    table: str,
+    write: Callable[[list[str], str], None],
+    archive: str | None = None,
+) -> None:
+    """Write the staged files that ``table`` does not have, batch by batch.
+
+    ``write`` gets paths and the name of their batch and must replace what it wrote for that
+    batch before. Batches that an earlier run planned but did not finish come first, with
+    exactly their files. With ``archive`` the files of a batch are moved there afterwards.
+    """
+    manifest = sinks.Manifest(spark, table)
+    batches = list(manifest.unfinished().items())
+    files = list_files(spark, globs[0])
+    for glob in globs[1:]:
+        files = files.unionByName(list_files(spark, glob))
+    batches.append(manifest.plan(files))
+    if not any(paths for _, paths in batches) and read_table(spark, table) is None:
+        write([], batches[-1][0])  # a table without rows
+    for batch, paths in batches:
+        if paths:
+            write(paths, batch)
+            manifest.finish(batch)
+            if archive is not None:
+                sinks.archive(spark, paths, archive)
+
 
 def write_parsed(
     parsed: DataFrame,
@@ -19,24 +50,24 @@ def write_parsed(
     dataset: str,
     silver: str,
     quarantine: str,
-    known: Callable[[DataFrame], DataFrame | None],
+    batch: str,
     partition_by: Sequence[str] = (),
 ) -> None:
-    """Append the rows of good envelopes to silver and the bad ones to quarantine.
+    """Good records to the batch's part of silver, bad ones to its part of the quarantine.
 
-    The parsed envelopes are used twice, so they are kept on the executors' disks, the
-    text only of the bad ones; a lost executor's share is parsed again. Each append skips
-    the files its own table already holds (``known`` looks them up for the parsed lines),
-    so a rerun after a failure at any point completes the work without repeating any of it.
+    The parsed records are used twice, so they are kept on the executors' disks, the text
+    only of the bad ones; a lost executor's share is parsed again.
     """
     only_bad = F.when(F.col("_problem").isNotNull(), F.col("value"))
     kept = parsed.withColumn("value", only_bad).persist(StorageLevel.DISK_ONLY)
     try:
-        sinks.append(rows(sinks.without_known(kept, known(kept))), silver, partition_by)
-        held = read_table(kept.sparkSession, quarantine)
-        if held is not None:
-            held = held.where(F.col("dataset") == dataset)
-        bad = quarantined(kept).select("source_file", "value", "problem", F.lit(dataset).alias("dataset"))
-        sinks.append(sinks.without_known(bad, held), quarantine)
+        sinks.write_batch(rows(kept), silver, batch, partition_by)
+        write_bad(quarantined(kept), dataset, quarantine, batch)
     finally:
         kept.unpersist()
+
+
+def write_bad(bad: DataFrame, dataset: str, quarantine: str, batch: str) -> None:
+    """source_file, value and problem of what was rejected, under dataset and batch."""
+    rows = bad.select("source_file", "value", "problem")
+    sinks.write_batch(rows, f"{quarantine}/{DATASET}={dataset}", batch)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform.functions.casting import cell_or_default
 from stratiform.operators.aggregates import group_mean
 from stratiform.operators.cells import filter_wide
+from stratiform.plans import serving
 from stratiform.plans.fixed import SERVING_FAMILIES
 
 
@@ -45,3 +46,16 @@ def mean_delay(
         F.col(value).try_cast("double").alias(value),
     )
     return group_mean(numbers, [key], value, value, missing_as_zero).orderBy(key)
+
+
+def rain_report(spark: SparkSession, cells: str, airport: str = "WAW", keep_missing: bool = True) -> DataFrame:
+    """``rain_against_delay`` from the cells table: keys are chosen before their cells are gathered."""
+    listed = families("departure_iata", "departure_rain", "arrival_delay")
+    wide = serving.scan(spark, cells, listed, where=("departure_iata", airport), keep_missing=keep_missing)
+    return rain_against_delay(wide, airport, keep_missing)
+
+
+def delay_report(spark: SparkSession, cells: str, missing_as_zero: bool = True) -> DataFrame:
+    """``mean_delay`` by departure airport from the cells table."""
+    wide = serving.scan(spark, cells, families("departure_iata", "arrival_delay"))
+    return mean_delay(wide, missing_as_zero=missing_as_zero)

@@ -1,12 +1,13 @@
 """Gold rows to versioned serving cells.
 
-The cells table is an append log partitioned by run: writing a run again replaces that
-run only. Reading resolves versions, and ``compact`` writes a table that holds no more
-than the retained ones.
+The cells table is an append log with a folder per run and family: writing a run again
+replaces that run only. Reading resolves versions, and ``compact`` replaces the runs by one
+that holds no more than the retained versions.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
@@ -15,10 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform.functions.text import row_key
-from stratiform.operators.cells import CELL, MAX_VERSIONS, newest_versions, wide_to_cells, wide_view
+from stratiform.operators.cells import CELL, MAX_VERSIONS, newest_versions, wide_first, wide_to_cells, wide_view, wide_where
 from stratiform.plans.fixed import SERVING_FAMILIES
+from stratiform.plans.gold import DEPARTURE_DAY
+from stratiform.sinks import delete_folder, new_batch
+from stratiform.sources.envelope import list_files
 from stratiform.sources.tables import read_table
 
+# The columns that a row key is made of.
 KEY_PARTS = ["flight_icao", "departure_scheduled"]
 RUN = "run_id"
 CELLS = "row_key STRING, family STRING, qualifier STRING, value STRING, version_ts TIMESTAMP"
@@ -39,15 +44,21 @@ def keyed(
 
 
 def write_cells(cells: DataFrame, path: str, run_id: str, fresh: bool = False) -> None:
-    """Add one run to the table, or with ``fresh`` drop what it held before."""
-    replaced = "static" if fresh else "dynamic"
-    (
-        cells.withColumn(RUN, F.lit(run_id))
-        .write.partitionBy(RUN)
-        .option("partitionOverwriteMode", replaced)
-        .mode("overwrite")
-        .parquet(path)
+    """Add one run to the table; a run of this name is replaced, others stay unless ``fresh``."""
+    spark = cells.sparkSession
+    others = [run for run in _runs(spark, path) if run != run_id] if fresh else []
+    cells.write.partitionBy("family").option("partitionOverwriteMode", "static").mode("overwrite").parquet(
+        f"{path}/{RUN}={run_id}"
     )
+    for other in others:
+        delete_folder(spark, f"{path}/{RUN}={other}")
+
+
+def _runs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the runs, from the folders."""
+    files = list_files(spark, f"{path}/{RUN}=*/*/*.parquet")
+    names = files.select(F.regexp_extract("path", f"{RUN}=([^/]+)/", 1).alias("run")).distinct().collect()
+    return [row["run"] for row in names]
 
 
 def read_cells(spark: SparkSession, path: str, versions: int = MAX_VERSIONS) -> DataFrame:
@@ -64,20 +75,54 @@ def scan(
     path: str,
     families: Mapping[str, Sequence[str]] = SERVING_FAMILIES,
     limit: int | None = None,
+    where: tuple[str, str] | None = None,
+    keep_missing: bool = True,
 ) -> DataFrame:
-    """Newest values, one row per key; with ``limit`` the first keys in key order."""
-    table = read_table(spark, path)
-    wide = wide_view(spark.createDataFrame([], CELLS) if table is None else table, families)
-    return wide if limit is None else wide.orderBy("row_key").limit(limit)
-
-
-def compact(spark: SparkSession, path: str, target: str, versions: int = MAX_VERSIONS) -> None:
-    """Write the retained versions of ``path`` as a new table at ``target``."""
-    write_cells(read_cells(spark, path, versions), target, "compacted", fresh=True)
+    """Newest values, one row per key; with ``limit`` the first keys in key order.
 
-
-def run(spark: SparkSession, gold: str, path: str, run_id: str = "batch", fresh: bool = False) -> int:
-    """Publish gold; returns the number of rows whose key had a missing part."""
+    ``where`` is a column and the value that its newest cell has to have; rows that lack the
+    cell are kept unless ``keep_missing`` is false. Give one of ``limit`` and ``where``.
+    """
+    table = read_table(spark, path)
+    cells = spark.createDataFrame([], CELLS) if table is None else table
+    if where is not None:
+        column, value = where
+        family = next(f for f, columns in SERVING_FAMILIES.items() if column in columns)
+        return wide_where(cells, families, (family, column), value, keep_missing)
+    return wide_view(cells, families) if limit is None else wide_first(cells, families, limit)
+
+
+def compact(spark: SparkSession, path: str, target: str | None = None, versions: int = MAX_VERSIONS) -> None:
+    """Replace the runs of the table by one with the retained versions, or write that to ``target``.
+
+    The new run is written before the old ones are deleted. A cell that stands in both for a
+    while, or after a failure, is one version still. Runs added meanwhile are not touched. A
+    run that is part of a compacted one can no longer be replaced by its name.
+    """
+    runs = _runs(spark, path)
+    if target is not None:
+        write_cells(read_cells(spark, path, versions), target, "compacted", fresh=True)
+    elif runs:
+        write_cells(read_cells(spark, path, versions), path, f"compacted-{new_batch()}")
+        for run_id in runs:
+            delete_folder(spark, f"{path}/{RUN}={run_id}")
+
+
+def run(
+    spark: SparkSession,
+    gold: str,
+    path: str,
+    run_id: str | None = None,
+    since: dt.date | None = None,
+    fresh: bool = False,
+) -> int:
+    """Publish gold, or its departures from ``since`` on; returns the rows whose key had a missing part.
+
+    Every publication is a run of its own unless ``run_id`` names one to replace.
+    """
     table = spark.read.parquet(gold)
-    write_cells(wide_to_cells(keyed(table), SERVING_FAMILIES), path, run_id, fresh)
+    if since is not None:
+        table = table.where(F.make_date(*(F.col(c) for c in DEPARTURE_DAY)) >= F.lit(since))
+        table = table.where(F.col(DEPARTURE_DAY[0]) >= since.year)
+    write_cells(wide_to_cells(keyed(table), SERVING_FAMILIES), path, run_id or new_batch(), fresh)
     return table.where(~reduce(and_, (F.col(c).isNotNull() for c in KEY_PARTS))).count()

@@ -26,9 +26,18 @@ from stratiform.operators import (
     union_all,
     union_by_name,
 )
+from stratiform.plans.ingest import ingest_files, write_parsed
 from stratiform.registry.inputs import EVENT_RECORD, EVENT_TYPES, event_json, nullif, table
 from stratiform.session import new_path
-from stratiform.sources import list_files, parse_envelopes, quarantined, read_positional_csv, read_table, records
+from stratiform.sources import (
+    list_files,
+    parse_envelopes,
+    quarantined,
+    read_envelopes,
+    read_positional_csv,
+    read_table,
+    records,
+)
 from stratiform.sources.delimited import parse_positional
 
 ORDER_FAMILIES = {
@@ -63,6 +72,35 @@ def quarantine_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_by_name(good, quarantined(parsed).select("line", "problem"))
 
 
+def quarantine_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes of several records, some with text for an object or null: the neighbours stay."""
+    good = F.to_json(F.struct("event_id", F.struct(F.col("user_id").alias("id")).alias("person")))
+    bad = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"person":"n/a"}'))
+    listed = F.concat_ws(
+        ",", good, F.when(F.col("event_id") % 10 == 0, bad), F.when(F.col("event_id") % 7 == 0, "null"), good
+    )
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit('{"data":['), listed, F.lit("]}")).alias("value"))
+    parsed = parse_envelopes(lines, "event_id STRING, person STRUCT<id: STRING>")
+    kept = records(parsed).select(F.col("event_id").cast("long"), F.col("person.id").cast("long").alias("user_id"))
+    return union_by_name(kept, quarantined(parsed).select("value", "problem"))
+
+
+def ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files ingested when they arrive, and not again by further runs."""
+    staged, silver, bad = (new_path(spark, label) for label in ("staged", "silver", "quarantine"))
+
+    def write(paths: list[str], batch: str) -> None:
+        parsed = parse_envelopes(read_envelopes(spark, paths), EVENT_RECORD)
+        write_parsed(parsed, lambda kept: bind_by_name(records(kept), EVENT_TYPES), "events", silver, bad, batch)
+
+    for part in range(2):
+        half = table(spark, sf_dir, "events").where(F.col("event_id") % 2 == part)
+        half.select(event_json().alias("value")).write.text(f"{staged}/{part}")
+        for _ in range(2):
+            ingest_files(spark, [f"{staged}/*/*.txt"], silver, write)
+    return read_table(spark, silver).drop(sinks.BATCH)
+
+
 def struct_flatten_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_id") % 5 != 0, F.struct(F.col("event_type").alias("name"), "value"))
     person = F.when(F.col("user_id") % 7 != 0, F.struct(F.col("user_id").alias("id"), kind.alias("kind")))
@@ -90,7 +128,7 @@ def typed_try_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cast_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cast_all_to_string(
         table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
+            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "o_totalprice"
         )
     )
 
@@ -212,23 +250,34 @@ def serving_row_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
-        "event_type", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value")
+    """Values with many decimals, null, NaN, and a group of very large ones."""
+    value = (
+        F.when(F.col("event_id") % 50 == 0, 2.0**56)
+        .when(F.col("event_id") % 7 == 0, F.lit("NaN").cast("double"))
+        .when(F.col("event_id") % 3 != 0, F.col("value") / 1000)
     )
+    kind = F.when(F.col("event_id") % 50 == 0, "large").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(kind.alias("event_type"), value.alias("value"))
+
+
+def _compared(means: DataFrame) -> DataFrame:
+    """The last digits of a mean of doubles depend on the order of its sum."""
+    return means.withColumn("mean_value", F.round("mean_value", 6)).orderBy("event_type")
 
 
 def group_mean_missing_as_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = group_mean(_valued(spark, sf_dir), ["event_type"], "value", "mean_value", missing_as_zero=True)
-    return means.orderBy("event_type")
+    return _compared(group_mean(_valued(spark, sf_dir), ["event_type"], "value", "mean_value", missing_as_zero=True))
 
 
 def group_mean_skip_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_mean(_valued(spark, sf_dir), ["event_type"], "value", "mean_value").orderBy("event_type")
+    return _compared(group_mean(_valued(spark, sf_dir), ["event_type"], "value", "mean_value"))
 
 
 QUERIES = {
     "json_envelope_explode": json_envelope_explode,
     "quarantine_malformed": quarantine_malformed,
+    "quarantine_records": quarantine_records,
+    "ingest_manifest": ingest_manifest,
     "struct_flatten_null_safe": struct_flatten_null_safe,
     "typed_try_cast": typed_try_cast,
     "cast_all_to_string": cast_to_string,
@@ -254,12 +303,22 @@ _STATUS_SQL = """
     SELECT event_id, CASE event_id % 4 WHEN 1 THEN '8' WHEN 2 THEN '9' WHEN 3 THEN 'x' END AS status FROM events
 """
 _MEAN_SQL = """
-    SELECT event_type, CAST(sum(CAST(v AS DECIMAL(18, 2))) AS DOUBLE) / count(v) AS mean_value
-    FROM (SELECT event_type, {value} AS v FROM events) GROUP BY event_type
+    SELECT event_type, round(avg(v) FILTER (NOT isnan(v)), 6) AS mean_value
+    FROM (SELECT CASE WHEN event_id % 50 = 0 THEN 'large' ELSE event_type END AS event_type, {value} AS v FROM events)
+    GROUP BY 1
 """
-_PRESENT = "CASE WHEN event_id % 3 <> 0 THEN value END"
+_PRESENT = """CASE WHEN event_id % 50 = 0 THEN CAST(72057594037927936 AS DOUBLE) WHEN event_id % 7 = 0 THEN CAST('NaN' AS DOUBLE)
+    WHEN event_id % 3 <> 0 THEN value / 1000 END"""
 
 ORACLE = {
+    "quarantine_records": """
+        SELECT event_id, user_id, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS problem
+        FROM events, range(2)
+        UNION ALL SELECT NULL, NULL, '{"event_id":' || CAST(event_id AS VARCHAR) || ',"person":"n/a"}', 'malformed_record'
+        FROM events WHERE event_id % 10 = 0
+        UNION ALL SELECT NULL, NULL, 'null', 'null_record' FROM events WHERE event_id % 7 = 0
+    """,
+    "ingest_manifest": "SELECT * FROM events",
     "json_envelope_explode": """
         SELECT e.* FROM events e, range(2) r(i) WHERE i = 0 OR event_id % 5 = 0
     """,
@@ -290,7 +349,8 @@ ORACLE = {
     """,
     "cast_all_to_string": """
         SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
-               o_orderstatus, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority
+               o_orderstatus, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority,
+               CAST(o_totalprice AS VARCHAR) AS o_totalprice
         FROM orders
     """,
     "csv_positional_parse": """

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.functions import date_parts, exact_mean
+from stratiform.functions import date_parts, mean
 from stratiform.session import configure
 
 DOMESTIC = [f"N{k:02d}" for k in range(10)]
@@ -85,7 +85,7 @@ STATION_DAYS_SQL = """
            CAST(year(l_shipdate) AS INTEGER) AS year,
            CAST(month(l_shipdate) AS INTEGER) AS month,
            CAST(day(l_shipdate) AS INTEGER) AS day,
-           CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) / count(l_quantity) AS temperature,
+           round(avg(l_quantity), 6) AS temperature,
            max(l_discount) AS rain,
            min(l_tax) AS snow
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
@@ -101,7 +101,7 @@ def station_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         shipped.groupBy(F.col("s_nationkey").alias("station_code"), *day)
         .agg(
-            exact_mean("l_quantity").alias("temperature"),
+            F.round(mean("l_quantity"), 6).alias("temperature"),
             F.max("l_discount").alias("rain"),
             F.min("l_tax").alias("snow"),
         )

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform.functions import cell_or_default, row_key
-from stratiform.operators import filter_wide, merge_cells, merge_wide, newest_versions, wide_to_cells, wide_view
-from stratiform.plans import reports
+from stratiform.operators import merge_cells, merge_wide, newest_versions, wide_first, wide_to_cells, wide_view, wide_where
+from stratiform.plans import reports, serving
 from stratiform.registry.inputs import (
     EVENT_FAMILIES,
     EVENTS_WIDE_SQL,
@@ -16,6 +16,8 @@ from stratiform.registry.inputs import (
     nullif,
     table,
 )
+from stratiform.session import new_path
+from stratiform.sinks import new_batch
 
 ORDER_FAMILIES = {"order": ["status", "priority", "placed"], "party": ["customer", "price"]}
 
@@ -72,21 +74,33 @@ def serving_version_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_versions(cells)
 
 
+def serving_publish_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells published in three runs, compacted in place, and one more run: every version up to the retained ones."""
+    path = new_path(spark, "cells")
+    cells = _event_cells(spark, sf_dir).withColumn("version_ts", F.col("version_ts").cast("timestamp"))
+    part = F.pmod(F.xxhash64("row_key", "qualifier", "version_ts"), F.lit(4))
+    for run in range(3):
+        serving.write_cells(cells.where(part == run), path, new_batch())
+    serving.compact(spark, path)
+    serving.write_cells(cells.where(part == 3), path, new_batch())
+    return serving.read_cells(spark, path).withColumn("version_ts", F.col("version_ts").cast("timestamp_ntz"))
+
+
 def serving_scan_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_view(spark, sf_dir)
 
 
 def serving_scan_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows in key order, as a preview."""
-    return _event_view(spark, sf_dir).orderBy("row_key").limit(10)
+    return wide_first(_event_cells(spark, sf_dir), EVENT_FAMILIES, 10)
 
 
 def serving_filter_eq_or_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_wide(_event_view(spark, sf_dir), "source", "web3")
+    return wide_where(_event_cells(spark, sf_dir), EVENT_FAMILIES, ("event", "source"), "web3")
 
 
 def serving_filter_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_wide(_event_view(spark, sf_dir), "source", "web3", keep_missing=False)
+    return wide_where(_event_cells(spark, sf_dir), EVENT_FAMILIES, ("event", "source"), "web3", keep_missing=False)
 
 
 def missing_cell_default(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +114,8 @@ def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serving_mean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.mean_delay(_event_view(spark, sf_dir), key="kind", value="amount")
+    means = reports.mean_delay(_event_view(spark, sf_dir), key="kind", value="amount")
+    return means.withColumn("amount", F.round("amount", 6))  # the order of the sum decides later digits
 
 
 QUERIES = {
@@ -108,6 +123,7 @@ QUERIES = {
     "serving_merge_upsert": serving_merge_upsert,
     "serving_merge_cells": serving_merge_cells,
     "serving_version_retention": serving_version_retention,
+    "serving_publish_versions": serving_publish_versions,
     "serving_scan_wide": serving_scan_wide,
     "serving_scan_first": serving_scan_first,
     "serving_filter_eq_or_missing": serving_filter_eq_or_missing,
@@ -161,6 +177,13 @@ ORACLE = {
         FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, props DESC) <= 10
     """,
+    "serving_publish_versions": f"""
+        SELECT * FROM (
+            SELECT row_key, family, qualifier, max(value) AS value, version_ts FROM ({_CELLS_SQL})
+            GROUP BY row_key, family, qualifier, version_ts
+        )
+        QUALIFY row_number() OVER (PARTITION BY row_key, family, qualifier ORDER BY version_ts DESC) <= 10
+    """,
     "serving_scan_wide": f"{WIDE_VIEW_SQL} SELECT * FROM wide",
     "serving_scan_first": f"{WIDE_VIEW_SQL} SELECT * FROM wide ORDER BY row_key LIMIT 10",
     "serving_filter_eq_or_missing": f"{WIDE_VIEW_SQL} SELECT * FROM wide WHERE source = 'web3' OR source IS NULL",
@@ -178,7 +201,7 @@ ORACLE = {
     "serving_mean_report": f"""
         {WIDE_VIEW_SQL}
         SELECT coalesce(kind, '0') AS kind,
-               CAST(sum(CAST(coalesce(TRY_CAST(amount AS DOUBLE), 0) AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS amount
+               round(avg(coalesce(TRY_CAST(amount AS DOUBLE), 0)), 6) AS amount
         FROM wide GROUP BY 1
     """,
 }

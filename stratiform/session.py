@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -22,12 +23,16 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+_CONFIGURED = "stratiform.configured"
+
 BROADCAST_LIMIT_BYTES = 128 * 1024 * 1024
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+    """Apply the settings, once to a session: what its user changes later stays."""
+    if spark.conf.get(_CONFIGURED, None) is None:
+        for key, value in {**SETTINGS, _CONFIGURED: "true"}.items():
+            spark.conf.set(key, value)
     return spark
 
 
@@ -54,13 +59,32 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside are removed at the end; what is made from them must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCRATCH.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
     Cuts lineage in a way that survives lost executors, and gives the planner the
-    real file size, so a small result is broadcast without a hint.
+    real file size, so a small result is broadcast without a hint. Inside ``scratch`` the
+    table is removed at the end, otherwise by the folder's own clean-up policy.
     """
     path = new_path(df.sparkSession, label)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

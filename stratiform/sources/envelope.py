@@ -1,11 +1,14 @@
 """JSON envelopes: one document per line (or per file) with the records in an array field.
 
-All record leaves are read as text and cast after flattening, so one badly typed leaf
-costs one value and not its whole envelope.
+An envelope is split into the texts of its records first, and every record is parsed on its
+own: one bad record goes to quarantine and its neighbours stay. Record leaves are read as text
+and cast after flattening, so one badly typed leaf costs one value and not its record.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,33 +18,52 @@ from stratiform.sources.tables import nothing_there
 
 MALFORMED = "malformed_json"
 MISSING = "missing_data"
+BAD_RECORD = "malformed_record"
+NULL_RECORD = "null_record"
+LINES = "value string, source_file string, source_id string"
 
 
 def list_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Distinct paths and names of the files a glob matches, without reading them."""
+    """Distinct paths and names of the files a glob matches, and their identities, without reading them."""
     try:
         files = spark.read.format("binaryFile").load(glob)
     except AnalysisException as error:
         if nothing_there(error):
-            return spark.createDataFrame([], "path string, file_name string")
+            return spark.createDataFrame([], "path string, file_name string, source_id string")
         raise
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name")).distinct()
+    identity = source_id(F.col("path"), F.col("modificationTime"), F.col("length"))
+    return files.select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), identity.alias("source_id")
+    ).distinct()
+
 
+def source_id(path: Column, modified: Column, length: Column) -> Column:
+    """Identity of a delivered file: the same path with other content or time is another delivery.
+
+    Spark spells a local path with one or three slashes after the scheme, depending on the reader.
+    """
+    return F.concat_ws("|", F.regexp_replace(path, "^file:/+", "/"), F.unix_millis(modified).cast("string"), length.cast("string"))
 
-def read_envelopes(spark: SparkSession, glob: str, whole_file: bool = False) -> DataFrame:
-    """(value, source_file) per line, or per file for pretty-printed documents."""
+
+def read_envelopes(spark: SparkSession, paths: str | Sequence[str], whole_file: bool = False) -> DataFrame:
+    """(value, source_file, source_id) per line, or per file for pretty-printed documents."""
+    if not paths:
+        return spark.createDataFrame([], LINES)
     try:
-        lines = spark.read.text(glob, wholetext=whole_file)
+        lines = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=whole_file)
     except AnalysisException as error:
         if nothing_there(error):
-            return spark.createDataFrame([], "value string, source_file string")
+            return spark.createDataFrame([], LINES)
         raise
     return with_source(lines)
 
 
 def with_source(lines: DataFrame) -> DataFrame:
-    """The text and the name of its file; blank lines carry no document. Works on streams too."""
-    return lines.select("value", F.col("_metadata.file_name").alias("source_file")).where(F.trim("value") != "")
+    """The text, and name and identity of its file; blank lines carry no document. Works on streams too."""
+    meta = [F.col(f"_metadata.{part}") for part in ("file_path", "file_modification_time", "file_size")]
+    return lines.select(
+        "value", F.col("_metadata.file_name").alias("source_file"), source_id(*meta).alias("source_id")
+    ).where(F.trim("value") != "")
 
 
 def parse_envelopes(
@@ -50,54 +72,52 @@ def parse_envelopes(
     field: str = "data",
     reject: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add ``_records`` and ``_problem`` to lines that have a ``value`` column.
+    """One row per record, and one per envelope that is bad as a whole.
+
+    Columns are those of ``lines`` with ``value`` cut to the record's text, ``_record``, and
+    ``_problem``, which is null for a good record. An envelope with an empty array gives no
+    row. ``reject`` names further problems of whole envelopes and when they apply.
 
-    ``_problem`` is null for a good envelope (an empty array is good). ``reject`` names
-    further problems and the conditions under which they apply.
+    The parsed values go through an explode: the optimizer would push a filter on them below
+    the parse otherwise, and parse everything again for it.
     """
     if isinstance(record, str):
         record = T.StructType.fromDDL(record)
-    schema = T.StructType(
-        [
-            T.StructField(field, T.ArrayType(record)),
-            T.StructField("_corrupt", T.StringType()),
-        ]
-    )
-    document = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    document = T.StructType().add(field, T.ArrayType(T.StringType())).add("_corrupt", T.StringType())
+    checked = T.StructType([*record.fields, T.StructField("_corrupt", T.StringType())])
+    options = {"columnNameOfCorruptRecord": "_corrupt"}
     problem = F.when(F.col("_document._corrupt").isNotNull(), MALFORMED).when(
         F.col("_document")[field].isNull(), MISSING
     )
     for name, condition in (reject or {}).items():
         problem = problem.when(condition, name)
-    return (
-        lines.withColumn("_document", document)
-        .withColumn("_problem", problem)
-        .withColumn("_records", F.when(F.col("_problem").isNull(), F.col("_document")[field]))
-        .drop("_document")
+    kept = [c for c in lines.columns if c != "value"]
+    split = lines.withColumn("_document", F.from_json("value", document, options)).withColumn("_envelope", problem)
+    texts = F.when(F.col("_envelope").isNull(), F.col("_document")[field])
+    split = split.select("value", *kept, "_envelope", F.posexplode_outer(texts).alias("_position", "_text"))
+    split = split.where(F.col("_envelope").isNotNull() | F.col("_position").isNotNull())
+    parsed = split.withColumn("_parsed", F.from_json("_text", checked, options))
+    found = F.struct(
+        F.coalesce("_text", F.when(F.col("_envelope").isNotNull(), F.col("value"))).alias("value"),
+        F.col("_parsed").dropFields("_corrupt").alias("_record"),
+        F.coalesce("_envelope", F.when(F.col("_text").isNull(), NULL_RECORD))
+        .alias("_outer"),
+        F.col("_parsed._corrupt").isNotNull().alias("_bad"),
+    )
+    rows = parsed.select(*kept, F.explode(F.array(found)).alias("_found"))
+    bad = F.coalesce("_found._outer", F.when(F.col("_found._bad") | F.col("_found._record").isNull(), BAD_RECORD))
+    return rows.select(
+        F.coalesce("_found.value", F.lit("null")).alias("value"), *kept, "_found._record", bad.alias("_problem")
     )
 
 
 def records(parsed: DataFrame) -> DataFrame:
-    """One row per record of the good envelopes, with the other columns of ``parsed`` kept.
-
-    The outer explode followed by a test of the position is deliberate: a plain explode
-    makes the optimizer add a filter on the array below it, and that filter would parse
-    every document a second time.
-    """
-    kept = [c for c in parsed.columns if c not in ("value", "_records", "_problem")]
-    return (
-        parsed.select(*kept, F.posexplode_outer("_records").alias("_position", "_record"))
-        .where(F.col("_position").isNotNull())
-        .select("_record.*", *kept)
-    )
+    """One row per good record, with the other columns of ``parsed`` kept."""
+    kept = [c for c in parsed.columns if c not in ("value", "_record", "_problem")]
+    return parsed.where(F.col("_problem").isNull()).select("_record.*", *kept)
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
-    """The rejected envelopes: their text and the reason.
-
-    The reason goes through an explode for the same purpose as in ``records``: a filter on
-    it would be pushed below the parse and repeat it.
-    """
-    kept = [c for c in parsed.columns if c not in ("_records", "_problem")]
-    reasons = parsed.select(*kept, F.explode_outer(F.array("_problem")).alias("problem"))
-    return reasons.where(F.col("problem").isNotNull())
+    """The rejected envelopes and records: their text and the reason."""
+    kept = [c for c in parsed.columns if c not in ("_record", "_problem")]
+    return parsed.where(F.col("_problem").isNotNull()).select(*kept, F.col("_problem").alias("problem"))

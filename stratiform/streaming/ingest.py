@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from stratiform.plans import flights
+from stratiform.sinks import Manifest
 from stratiform.sources.envelope import parse_envelopes, records, with_source
 
 FILES_PER_BATCH = 1000
@@ -45,13 +48,25 @@ def ingest_records(
     )
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint; another checkpoint has another one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
 def ingest_flights(
     lines: DataFrame, silver: str, quarantine: str, checkpoint: str, literal: bool = False
 ) -> StreamingQuery:
-    """Flights to silver and quarantine. A repeated batch adds nothing."""
+    """Flights to silver and quarantine.
+
+    A batch of the stream is a batch of the tables, named after the query, so a repeated one
+    replaces itself. Files that a batch job has ingested already are left out.
+    """
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        flights.ingest(batch, silver, quarantine, literal)
+    def write(lines: DataFrame, batch_id: int) -> None:
+        manifest = Manifest(lines.sparkSession, silver)
+        batch = f"{query_id(lines.sparkSession, checkpoint)}-{batch_id}"
+        flights.write(manifest.without_known(lines, batch), silver, quarantine, batch, literal)
+        manifest.note(batch, manifest.without_known(lines, batch))
 
     return (
         lines.writeStream.foreachBatch(write)

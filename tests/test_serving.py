@@ -120,7 +120,8 @@ def test_run_spells_keys(spark, published):
 
 def test_run_can_be_repeated(spark, published, tmp_path):
     before = sorted(map(str, spark.read.parquet(published).collect()))
-    serving.run(spark, str(tmp_path / "gold"), published)
+    run_id = spark.read.parquet(published).first().run_id
+    serving.run(spark, str(tmp_path / "gold"), published, run_id)
     assert sorted(map(str, spark.read.parquet(published).collect())) == before
 
 
