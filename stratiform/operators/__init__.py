@@ -10,7 +10,7 @@ from stratiform.operators.cells import (
     wide_where,
 )
 from stratiform.operators.dedup import latest_per_key, newest_per_key
-from stratiform.operators.filters import any_not_null, membership_flag, split_by_flag
+from stratiform.operators.filters import any_not_null, either, membership_flag, split_by_flag
 from stratiform.operators.flatten import flatten, leaf_paths
 from stratiform.operators.joins import inner_join, left_enrich, lookup_left_join, shift_year
 from stratiform.operators.reshape import project_families, rename_with_prefix, union_all, union_by_name
@@ -18,6 +18,7 @@ from stratiform.operators.reshape import project_families, rename_with_prefix, u
 __all__ = [
     "any_not_null",
     "distinct_values",
+    "either",
     "filter_wide",
     "flatten",
     "group_mean",

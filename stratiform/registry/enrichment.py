@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratiform.functions import date_parts
 from stratiform.operators import (
     any_not_null,
+    either,
     inner_join,
     latest_per_key,
     left_enrich,
@@ -15,8 +16,6 @@ from stratiform.operators import (
     membership_flag,
     rename_with_prefix,
     shift_year,
-    split_by_flag,
-    union_by_name,
 )
 from stratiform.plans.gold import enrich_sides
 from stratiform.registry.inputs import (
@@ -115,16 +114,13 @@ def trip_dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def membership_flag_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = trips(spark, sf_dir).withColumn("domestic", membership_flag("arrival_code", DOMESTIC))
-    arrivals, departures = split_by_flag(flagged, "domestic")
-    counted = [
-        side.groupBy(F.lit(name).alias("side"), F.col(code).alias("code")).agg(F.count("*").alias("n"))
-        for name, side, code in (
-            ("arrival", arrivals, "arrival_code"),
-            ("departure", departures, "departure_code"),
-        )
-    ]
-    return union_by_name(*counted)
+    """Both sides of the split in one pass: which side a row is on decides its columns."""
+    flag = membership_flag("arrival_code", DOMESTIC)
+    sides = trips(spark, sf_dir).select(
+        either(flag, F.lit("arrival"), F.lit("departure")).alias("side"),
+        either(flag, F.col("arrival_code"), F.col("departure_code")).alias("code"),
+    )
+    return sides.groupBy("side", "code").agg(F.count("*").alias("n"))
 
 
 def prefix_rename_project(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +167,9 @@ def prior_year_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(*(column.alias(name) for name, column in date_parts("o_orderdate").items()))
         .agg(F.count("*").alias("orders"), F.max("o_totalprice").alias("top_price"))
     )
+    daily = stage(daily, "daily")  # used twice; the planner knows its size from the files
     before = shift_year(daily).withColumnsRenamed({"orders": "orders_before", "top_price": "top_price_before"})
-    return left_enrich(daily, before, ["year", "month", "day"])
+    return left_enrich(daily, before, ["year", "month", "day"], broadcast_limit=None)
 
 
 _DATED_SQL = f"""

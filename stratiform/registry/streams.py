@@ -18,7 +18,14 @@ from stratiform.registry.inputs import (
     table,
 )
 from stratiform.session import new_path
-from stratiform.streaming import deduplicated, envelope_stream, ingest_records, upsert_cells
+from stratiform.streaming import (
+    deduplicated,
+    envelope_stream,
+    ingest_records,
+    keep_newest,
+    read_newest,
+    upsert_cells,
+)
 
 
 def _stream(spark: SparkSession, df: DataFrame, label: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -36,15 +43,14 @@ def stream_ingest_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedup_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event polled twice; the horizon is taken from the span of the table."""
+    """Every event polled twice, with a day between copies at most."""
     events = table(spark, sf_dir, "events")
-    first, last = events.select(F.min("ts"), F.max("ts")).first()
     polled = events.withColumn("poll", F.explode(F.array(F.lit(1), F.lit(2))))
     clean = deduplicated(
         _stream(spark, polled, "polled-events"),
         ["event_id"],
         "ts",
-        f"{(last - first).days + 1} days",
+        "1 day",
         spread_by=["poll"],
         spread=2,
     )
@@ -60,6 +66,17 @@ def stream_dedup_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind_by_name(spark.read.parquet(out), EVENT_TYPES)
 
 
+def stream_newest_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three polls that differ, in several batches: the newest copy of every event."""
+    events = table(spark, sf_dir, "events")
+    polled = events.withColumn("poll", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    polled = polled.withColumn("value", F.col("value") - F.col("poll"))  # a newer copy is a lesser row
+    path = new_path(spark, "newest-events")
+    stream = _stream(spark, polled.repartition(6), "polled-events", files_per_trigger=2)
+    keep_newest(stream, ["event_id"], ["poll"], path, f"{path}-state").awaitTermination()
+    return read_newest(spark, path, ["event_id"], ["poll"])
+
+
 def stream_upsert_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "cells")
     wide = events_wide(spark, sf_dir).withColumn("version_ts", F.col("version_ts").cast("timestamp"))
@@ -71,11 +88,15 @@ def stream_upsert_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "stream_ingest_parity": stream_ingest_parity,
     "stream_dedup_parity": stream_dedup_parity,
+    "stream_newest_parity": stream_newest_parity,
     "stream_upsert_parity": stream_upsert_parity,
 }
 
 ORACLE = {
     "stream_ingest_parity": "SELECT * FROM events",
     "stream_dedup_parity": "SELECT * FROM events",
+    "stream_newest_parity": """
+        SELECT event_id, ts, user_id, event_type, value - 3 AS value, props, CAST(3 AS INTEGER) AS poll FROM events
+    """,
     "stream_upsert_parity": f"{WIDE_VIEW_SQL} SELECT * FROM wide",
 }

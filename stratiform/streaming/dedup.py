@@ -1,11 +1,17 @@
-"""Deduplication of re-polled snapshots on a stream."""
+"""Deduplication of re-polled snapshots on a stream: the first copy in state, or the newest in a log."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from stratiform import sinks
+from stratiform.operators.dedup import latest_per_key
+from stratiform.sources.tables import read_table
+from stratiform.streaming.ingest import query_id
 
 # Fixed class name of Spark's disk-backed state store, for state larger than the heap.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,3 +42,30 @@ def deduplicated(
             .drop("_bucket")
         )
     return timed.dropDuplicatesWithinWatermark(list(keys))
+
+
+def keep_newest(
+    stream: DataFrame, keys: Sequence[str], newest: Sequence[str], path: str, checkpoint: str
+) -> StreamingQuery:
+    """Log the newest row per key of every batch; ``read_newest`` gives the newest of all.
+
+    No state is held between batches, so there is no horizon: a copy may arrive at any time,
+    and a correction replaces what came before. A repeated batch replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = latest_per_key(batch, keys, newest)
+        sinks.write_batch(rows, path, f"{query_id(batch.sparkSession, checkpoint)}-{batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_newest(spark: SparkSession, path: str, keys: Sequence[str], newest: Sequence[str]) -> DataFrame | None:
+    """The newest row per key that ``keep_newest`` has logged, or None if there is no log yet."""
+    log = read_table(spark, path)
+    return None if log is None else latest_per_key(log.drop(sinks.BATCH), keys, newest)

@@ -161,3 +161,10 @@ def test_hot_dedup_key_after_a_join(spark):
     rows = spark.range(0, 90_000, 1, 8).select(hot.alias("k"), F.col("id").alias("snapshot"))
     newest = latest_per_key(rows, ["k"], ["snapshot"])
     assert newest.count() == 60_001 and newest.where("k = 0").first().snapshot == 89_997
+
+
+@pytest.mark.parametrize("name", ["prior_year_left_join", "membership_flag_split", "gold_enriched"])
+def test_facts_are_scanned_at_most_once(spark, name):
+    text = plan(entry.queries()[name](spark, SF_DIR))
+    for fact in ("orders", "lineitem"):
+        assert text.count(f"{fact}.parquet") <= 1, fact
