@@ -1,20 +1,23 @@
 """Near-duplicate documents by HyperMinHash sketches.
 
 A document's set holds the hashes of its distinct shingles (five successive words; the whole
-sequence if it has fewer). Its sketch has 128 buckets; each keeps, for the least hash that
-fell into it, the count of leading zeros and the next ten bits. Four registers form a band;
-documents that share a band are candidates. Candidates pass if the Jaccard estimate of their
-sketches, corrected for registers that agree by chance, is within six standard errors of the
-threshold, and are linked if the exact similarity of the full sets reaches it.
+sequence if it has fewer). Its sketch has 512 buckets; each keeps, for the least hash that fell
+into it, the count of leading zeros and the next ten bits. For banding, sketches of fewer
+buckets are taken, as many as the set fills: 32 of 4 buckets for small sets, 8 of 16 for
+middling and one of 128 for large ones, with an overlap so that sets of similar sizes have one
+kind in common. Four registers form a band; documents that share a band are candidates.
+Candidates pass if the Jaccard estimate of their sketches, corrected for registers that agree by
+chance, is within five standard errors of the threshold, and are linked if the exact similarity
+of the full sets reaches it.
 
 No group is paired out. Documents with equal sets count once. In each band only the links to
 its least document are tried first; then bands whose documents already are one component are
-done, and in the others documents of different components meet in blocks of bounded size.
-Two documents of a band are therefore always tried or already connected.
+done, and in the others documents of different components meet in blocks of bounded size,
+each pair in the first band that it shares. Two documents of a band are therefore always tried
+or already connected.
 
-At the threshold of 0.75 a pair shares none of the 32 bands with a probability of about 5 in a
-million. Sets of fewer than 256 shingles leave buckets empty and get a second, independent
-sketch, which squares that probability.
+At the threshold of 0.75 a pair shares none of 32 bands with a probability of about 5 in a
+million.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from stratiform.llm import arrays
 from stratiform.llm.components import components
 from stratiform.session import broadcast_within, stage
 
-BUCKET_BITS = 7
-BUCKETS = 1 << BUCKET_BITS
+BUCKETS = 512
 MANTISSA_BITS = 10
-ROWS = 4
-BANDS = BUCKETS // ROWS
-SMALL_SET = 256
+BAND_ROWS = 4  # registers of 16 bits, so a band is 64 bits
+# Least and most shingles, buckets of a sketch, sketches: each kind gives 32 bands.
+KINDS = ((1, 64, 4, 32), (48, 683, 16, 8), (384, 1 << 62, 128, 1))
+BANDS = 32 * len(KINDS)
 IDS_LIMIT_BYTES = 32 * 1024 * 1024
 
 
@@ -43,7 +46,7 @@ IDS_LIMIT_BYTES = 32 * 1024 * 1024
 class Settings:
     words: int = 5
     percent: int = 75  # least similarity, in hundredths
-    block: int = 128  # documents of a band that meet in one task
+    block: int = 1024  # documents of a band that meet in one task, with as many others
 
 
 def shingles(batch: arrays.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,23 +67,42 @@ def shingles(batch: arrays.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     return runs, np.searchsorted(doc, np.arange(len(batch.offsets)), "left")
 
 
-def registers(hashes: np.ndarray, border: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers, one row of 128 per set; 0 is an empty bucket.
+def registers(hashes: np.ndarray, border: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """HyperMinHash registers, one row per set; 0 is an empty bucket.
 
     A register is greater for a lesser hash: one more than the leading zeros, then the
     inverted bits after the first one.
     """
-    count = len(border) - 1
-    out = np.zeros(count * BUCKETS, dtype=np.uint16)
-    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    rest = (hashes << np.uint64(BUCKET_BITS)) | np.uint64(1 << (BUCKET_BITS - 1))
+    count, bits = len(border) - 1, buckets.bit_length() - 1
+    out = np.zeros(count * buckets, dtype=np.uint16)
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    rest = (hashes << np.uint64(bits)) | np.uint64(1 << (bits - 1))
     length = np.frexp((rest >> np.uint64(11)).astype(np.float64))[1]
     zeros = np.minimum(53 - length, 52).astype(np.uint64)
-    bits = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA_BITS)
-    code = ((zeros + np.uint64(1)) << np.uint64(MANTISSA_BITS)) | (np.uint64((1 << MANTISSA_BITS) - 1) - bits)
+    after = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA_BITS)
+    code = ((zeros + np.uint64(1)) << np.uint64(MANTISSA_BITS)) | (np.uint64((1 << MANTISSA_BITS) - 1) - after)
     doc = np.repeat(np.arange(count), np.diff(border))
-    np.maximum.at(out, doc * BUCKETS + bucket, code.astype(np.uint16))
-    return out.reshape(count, BUCKETS)
+    np.maximum.at(out, doc * buckets + bucket, code.astype(np.uint16))
+    return out.reshape(count, buckets)
+
+
+def bands(hashes: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """The bands of each set, one row of 96 keys; 0 where a set has no such band or it is empty."""
+    sizes = np.diff(border)
+    out = np.zeros((len(sizes), BANDS), dtype=np.uint64)
+    for kind, (least, most, buckets, sketches) in enumerate(KINDS):
+        chosen = np.flatnonzero((sizes >= least) & (sizes <= most))
+        if not len(chosen):
+            continue
+        own = hashes[np.repeat((sizes >= least) & (sizes <= most), sizes)]
+        own_border = np.concatenate([[0], np.cumsum(sizes[chosen])])
+        for k in range(sketches):
+            seed = np.uint64((kind * 100 + k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            values = registers(arrays.mix(own + seed), own_border, buckets).view(np.uint64)
+            number = kind * 32 + k * (buckets // BAND_ROWS) + np.arange(buckets // BAND_ROWS)
+            keys = arrays.mix(values + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            out[np.ix_(chosen, number)] = np.where(values == 0, np.uint64(0), keys)
+    return out
 
 
 def second_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -93,9 +115,12 @@ def similar(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarr
     agree = ((a == b) & (a > 0)).sum(axis=1)
     ratio = np.minimum(sizes_a, sizes_b) / np.maximum(np.maximum(sizes_a, sizes_b), 1)
     # Expected chance agreements of two disjoint sets of these sizes, as published for HyperMinHash.
-    chance = 0.169919487159739093975 * 2.0 ** (BUCKET_BITS - MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
+    chance = 0.169919487159739093975 * BUCKETS / 2.0**MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
     estimate = (agree - chance) / used
-    margin = 6 * np.sqrt(share * (1 - share) / used)
+    # Used buckets are a sample without replacement from the union, which has this size at ``share``.
+    union = (sizes_a + sizes_b) / (1 + share)
+    left_out = np.maximum(0.0, 1 - used / np.maximum(union, used))
+    margin = 5 * np.sqrt(share * (1 - share) / used * left_out) + 2 / used
     return (estimate >= share - margin) & (ratio >= share - 1e-9)
 
 
@@ -106,7 +131,7 @@ def _list_column(values: np.ndarray, border: np.ndarray) -> pa.Array:
 
 
 def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """A row per input row: doc_id, n, the fingerprint of the set, and the sketches."""
+    """A row per input row: doc_id, n, fingerprint of the set, sketch, bands, and 32 bits of each band by number."""
 
     def run(batch: pa.RecordBatch):
         for first, last, part in arrays.slices(arrays.texts(batch.column(1))):
@@ -117,27 +142,26 @@ def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                 filled = sizes > 0
                 for k, values in enumerate((arrays.mix(hashes), second_hashes(hashes))):
                     sums[k, filled] = np.add.reduceat(values, border[:-1][filled])
-            one = registers(hashes, border)
-            two = registers(second_hashes(hashes), border)
-            small = sizes < SMALL_SET
-            sketch = [
-                row.tobytes() + (other.tobytes() if is_small else b"") if size else None
-                for row, other, is_small, size in zip(one, two, small, sizes, strict=True)
-            ]
+            sketch = registers(hashes, border)
+            keys = bands(hashes, border)
+            filled = sizes > 0
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, last - first),
                     pa.array(sizes.astype(np.int64)),
                     pa.array(sums[0].view(np.int64)),
                     pa.array(sums[1].view(np.int64)),
-                    pa.array(sketch, pa.binary()),
+                    pa.array([row.tobytes() if full else None for row, full in zip(sketch, filled, strict=True)], pa.binary()),
+                    _list_column(keys[keys != 0], np.concatenate([[0], np.cumsum((keys != 0).sum(axis=1))])),
+                    pa.array([row.tobytes() for row in (keys >> np.uint64(32)).astype(np.uint32)], pa.binary()),
                 ],
-                ["doc_id", "n", "key_a", "key_b", "sketch"],
+                ["doc_id", "n", "key_a", "key_b", "sketch", "bands", "marks"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        arrays.mapper(run), f"doc_id {kind}, n long, key_a long, key_b long, sketch binary"
+        arrays.mapper(run),
+        f"doc_id {kind}, n long, key_a long, key_b long, sketch binary, bands array<long>, marks binary",
     )
 
 
@@ -153,28 +177,8 @@ def _sets(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(arrays.mapper(run), f"doc_id {kind}, members array<long>")
 
 
-def _bands(sketches: DataFrame) -> DataFrame:
-    """A row per document and band that is not empty: band, doc_id."""
-
-    def run(batch: pa.RecordBatch):
-        ids, owners, keys = batch.column(0), [], []
-        for k, sketch in enumerate(batch.column(1).to_pylist()):
-            values = np.frombuffer(sketch, dtype=np.uint64)  # four registers of 16 bits are a band
-            filled = np.flatnonzero(values)
-            keys.append(arrays.mix(values[filled] + (filled.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
-            owners.append(np.full(len(filled), k))
-        if owners:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), ids.take(pa.array(np.concatenate(owners)))], ["band", "doc_id"]
-            )
-
-    kind = sketches.schema["doc_id"].dataType.simpleString()
-    return sketches.select("doc_id", "sketch").mapInArrow(arrays.mapper(run), f"band long, doc_id {kind}")
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """First sketch of every row."""
-    return np.stack([np.frombuffer(x[: BUCKETS * 2], dtype=np.uint16) for x in column.to_pylist()])
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
@@ -184,10 +188,11 @@ def _likely(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
     share = settings.percent / 100
 
     def run(batch: pa.RecordBatch):
-        for low in range(0, batch.num_rows, 2000):
-            part = batch.slice(low, 2000)
+        for low in range(0, batch.num_rows, 1000):
+            part = batch.slice(low, 1000)
+            one, other = (_matrix(part.column(k), BUCKETS, np.uint16) for k in (2, 4))
             sizes = [part.column(k).to_numpy(zero_copy_only=False) for k in (3, 5)]
-            fits = similar(_matrix(part.column(2)), _matrix(part.column(4)), *sizes, share)
+            fits = similar(one, other, *sizes, share)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(fits))
 
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
@@ -228,25 +233,31 @@ def _across(shared: DataFrame, reps: DataFrame, places: DataFrame, settings: Set
     members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    members = members.join(reps.select("doc_id", "n", "sketch"), "doc_id")
+    members = members.join(reps.select("doc_id", "n", "sketch", "marks"), "doc_id")
     share = settings.percent / 100
 
     def meet(table: pa.Table) -> pa.Table:
-        matrix = _matrix(table.column("sketch"))
-        sizes = table.column("n").to_numpy()
-        component = table.column("component").to_numpy()
+        matrix, marks = _matrix(table.column("sketch"), BUCKETS, np.uint16), _matrix(table.column("marks"), BANDS, np.uint32)
+        sizes, component = table.column("n").to_numpy(), table.column("component").to_numpy()
         own, low, high = (table.column(x).to_numpy() for x in ("own", "low", "high"))
+        key = np.int64(table.column("band")[0].as_py()).view(np.uint64) >> np.uint64(32)
+        here = int(np.flatnonzero(marks[0] == key)[0])
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
         found_a, found_b = [], []
         for k in left:
             others = right[component[right] != component[k]]
             if low[0] == high[0]:
                 others = others[others > k]
-            if len(others):
-                one = np.broadcast_to(matrix[k], (len(others), BUCKETS))
-                fits = others[similar(one, matrix[others], np.full(len(others), sizes[k]), sizes[others], share)]
-                found_a += [k] * len(fits)
-                found_b += fits.tolist()
+            near = np.minimum(sizes[others], sizes[k]) >= share * np.maximum(sizes[others], sizes[k]) - 1e-9
+            others = others[near]
+            if not len(others):
+                continue
+            fits = similar(matrix[k], matrix[others], sizes[k], sizes[others], share)
+            others = others[fits]
+            if here:
+                others = others[~((marks[others, :here] == marks[k, :here]) & (marks[k, :here] != 0)).any(axis=1)]
+            found_a += [k] * len(others)
+            found_b += others.tolist()
         ids = table.column("doc_id")
         return pa.table({"a": ids.take(pa.array(found_a, pa.int64())), "b": ids.take(pa.array(found_b, pa.int64()))})
 
@@ -272,12 +283,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     )
     reps = stage(reps.dropDuplicates(["doc_id", "key_a", "key_b", "n"]), "reps")
 
-    bands = _bands(reps)
-    leaders = bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last")
-    shared = stage(bands.join(leaders.select("band", "leader"), "band"), "shared")
-    stars = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    banded = reps.select(F.explode("bands").alias("band"), F.struct("doc_id", "n").alias("doc"))
+    leaders = banded.groupBy("band").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader <> last")
+    shared = stage(banded.join(leaders.select("band", "leader"), "band"), "shared")
+    share = settings.percent / 100
+    near = F.least("doc.n", "leader.n") >= share * F.greatest("doc.n", "leader.n") - 1e-9
+    stars = shared.where((F.col("doc.doc_id") != F.col("leader.doc_id")) & near)
+    stars = stars.select(F.col("leader.doc_id").alias("a"), F.col("doc.doc_id").alias("b")).distinct()
     first = _links(stage(_likely(stars, reps, settings), "pairs"), docs, settings)
 
+    shared = shared.select("band", "doc.doc_id")
     more = stage(_across(shared, reps, components(first), settings), "pairs")
     links = first if more.isEmpty() else first.union(_links(more, docs, settings))
 
