@@ -30,10 +30,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those that it does not take go."""
-    mixed = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = mixed.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return docs.join(taken.select("doc_id"), "doc_id").select(*docs.columns)
+    """Documents as often as the mix takes them; those that it does not take go.
+
+    Of rows that repeat a document each is taken as often as the one that is taken most.
+    """
+    mixed = mixing.mix(docs).groupBy("draw").agg(F.max("copies").alias("copies")).where("copies > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_time")
+    taken = mixed.select(F.col("draw").alias("_taken_draw"), times).drop("_time")
+    return docs.join(taken, mixing.draw() == F.col("_taken_draw")).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

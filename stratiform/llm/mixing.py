@@ -34,6 +34,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def draw(settings: Settings = Settings()) -> Column:
+    """The seeded number that orders documents of one length; equal for equal ids and texts only."""
+    return F.xxhash64(F.lit(settings.seed), "doc_id", "text")
+
+
 def targets(sizes: Sequence[int], weights: Sequence[float], repeats: int) -> list[float]:
     """Shares of the total by weight, each at most ``repeats`` times its size, the excess shared again.
 
@@ -145,7 +150,7 @@ def _source_key(source: Column) -> Column:
 
 
 def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies for every row of ``docs``.
+    """doc_id, source, size, source_size, target, taken, copies, draw for every row of ``docs``.
 
     ``docs`` needs doc_id, text and source; other columns are ignored. A null text has size 0,
     and rows of size 0 take nothing. Sources are ranked by code point, null last, and weigh by
@@ -155,7 +160,7 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = stage(
         docs.select(
             "doc_id", "source", _source_key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(settings.seed), "doc_id", "text").alias("draw"),
+            draw(settings).alias("draw"),
         ),
         "sizes",
     )
@@ -193,5 +198,6 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ordered = slotted.where(in_border).withColumn("extra", (F.row_number().over(order) <= F.col("rest")).cast("int"))
     copies = F.when(F.col("size") > 0, F.col("each") + F.col("extra")).otherwise(0).cast("long")
     return decided.unionByName(ordered).select(
-        "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies")
-    )
+        "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"),
+        "draw",
+    )
