@@ -63,24 +63,58 @@ def template(messages: Sequence[tuple[str, str]]) -> str:
     return "".join(f"{START}{role}\n{text}{END}\n" for role, text in messages)
 
 
-def format_turns(turns: Sequence[tuple[str, str]], render: Template = template, loss_role: str = "assistant") -> Formatted:
+def format_turns(
+    turns: Sequence[tuple[str, str]], render: Template = template, loss_role: str = "assistant", window: int = 256
+) -> Formatted:
     """Format one conversation, rendering each prefix of its turns.
 
     Raises HistoryRewritten if the output for a prefix is not the beginning of the next one's,
-    and ValueError if an assistant's text cannot be located in what its turn adds. Rendering all prefixes takes time with the square of the turns of one conversation.
+    and ValueError if an assistant's text cannot be located in what its turn adds.
+
+    Rendering all prefixes takes time with the square of the turns. So after ``window`` turns
+    the prefixes begin at the last turn before the present window, and at its end the whole
+    conversation so far is rendered: if that is not what the turns have added up to, the window
+    is done again with whole prefixes. The result is the template's output in either case.
     """
-    messages: list[tuple[str, str]] = []
-    before, spans, loss = "", [], []
-    for k, (role, text) in enumerate(turns):
-        messages.append((escape_role(role), escape(text)))
-        after = render(messages)
+    messages = [(escape_role(role), escape(text)) for role, text in turns]
+    marked = [role == loss_role for role, _ in turns]
+    text, spans, loss = "", [], []
+    for low in range(0, len(turns), window):
+        high = min(low + window, len(turns))
+        whole = render(messages[:high])
+        if not whole.startswith(text):
+            raise HistoryRewritten(f"turns {low} to {high - 1} change the output for the turns before them")
+        try:
+            added = _added(messages, marked, low, high, max(low - 1, 0), render)
+        except ValueError:
+            added = None
+        if added is None or text + "".join(part for part, _ in added) != whole:
+            added = _added(messages, marked, low, high, 0, render)
+        for part, place in added:
+            spans.append((len(text), len(text) + len(part)))
+            if place is not None:
+                loss.append((len(text) + place[0], len(text) + place[1]))
+            text += part
+    return Formatted(text, spans, loss)
+
+
+def _added(
+    messages: list[tuple[str, str]], marked: list[bool], low: int, high: int, first: int, render: Template
+) -> list[tuple[str, tuple[int, int] | None]]:
+    """What each turn from ``low`` on adds to the output of the messages from ``first``, and where its text stands."""
+    before = render(messages[first:low]) if low > first else ""
+    out = []
+    for k in range(low, high):
+        after = render(messages[first : k + 1])
         if not after.startswith(before):
             raise HistoryRewritten(f"turn {k} changes the output for the turns before it")
-        spans.append((len(before), len(after)))
-        if role == loss_role:
-            loss.append(_locate(messages, before, after, render))
+        place = None
+        if marked[k]:
+            start, end = _locate(messages[first : k + 1], before, after, render)
+            place = start - len(before), end - len(before)
+        out.append((after[len(before) :], place))
         before = after
-    return Formatted(before, spans, loss)
+    return out
 
 
 def _locate(messages: list[tuple[str, str]], before: str, after: str, render: Template) -> tuple[int, int]:
@@ -93,7 +127,7 @@ def _locate(messages: list[tuple[str, str]], before: str, after: str, render: Te
     start = probed.find(probe, len(before))
     end = start + len(text)
     if start < 0 or after[:start] != probed[:start] or after[start:end] != text or after[end:] != probed[start + len(probe) :]:
-        raise ValueError(f"the text of turn {len(messages) - 1} cannot be located in the output of its turn")
+        raise ValueError("the text of a turn cannot be located in the output of its turn")
     return start, end
 
 

@@ -47,6 +47,25 @@ def test_any_template_of_growing_output_works():
     assert done.text[: done.loss[0][0]].endswith("[/INST] ")
 
 
+def numbered(messages):
+    """Says how many turns came before, so a prefix must begin at the first turn."""
+    return "".join(f"{chat.START}{role}\n{k} {text}{chat.END}\n" for k, (role, text) in enumerate(messages))
+
+
+@pytest.mark.parametrize("render", [chat.template, numbered])
+def test_windows_give_what_whole_prefixes_give(render):
+    turns = [("assistant" if k % 2 else "user", f"text {k}") for k in range(23)]
+    whole = chat.format_turns(turns, render)
+    assert chat.format_turns(turns, render, window=5) == whole
+    assert whole.text == render(turns)
+    assert [whole.text[a:b] for a, b in whole.loss] == [t for r, t in turns if r == "assistant"]
+
+
+def test_a_long_conversation():
+    turns = [("assistant" if k % 2 else "user", "word " * 20) for k in range(6000)]
+    assert chat.parse(chat.format_turns(turns).text) == turns
+
+
 def test_awkward_conversations(spark):
     schema = "conv_id long, turn long, role string, text string, spans string, formatted string"
     rows = [
