@@ -38,7 +38,8 @@ class Settings:
     k1: float = 1.2
     b: float = 0.75
     block: int = 64  # postings in a block
-    shard_items: int = 20_000  # most items in one index
+    shard_items: int = 20_000  # about the most items in one index
+    shard_chars: int = 50_000_000  # about the most text in one index
 
 
 class Item(NamedTuple):
@@ -237,8 +238,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     nor do items of fewer than ``least_words`` words. Equal items are all found; rows that
     repeat a document give its best scores. Rows without doc_id are matched under a null id.
 
-    Items are indexed in parts of about ``shard_items``, which bounds what is broadcast; every
-    part is met by all passages. Texts are not shuffled.
+    Items are indexed in parts of about ``shard_items`` and ``shard_chars``, which bounds what is
+    broadcast; every part is met by all passages. Texts are not shuffled.
     """
     spark = docs.sparkSession
     wanted = [c for c in ("item_id", "text", "question", "answer") if c in benchmark.columns]
@@ -248,7 +249,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
         benchmark = benchmark.withColumn("text", F.concat_ws(" ", "question", "answer"))
         wanted.append("text")
     benchmark = benchmark.select(*wanted).where(F.length("text") > 0)
-    parts = max(1, -(-benchmark.count() // settings.shard_items))
+    count, chars = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-count // settings.shard_items), -(-chars // settings.shard_chars))
     kinds = [x.schema[name].dataType.simpleString() for x, name in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
     found = []
