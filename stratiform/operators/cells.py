@@ -11,6 +11,7 @@ from stratiform.operators.dedup import newest_per_key
 
 CELL = ["row_key", "family", "qualifier"]
 MAX_VERSIONS = 10
+FEW_COLUMNS = 8
 
 
 def wide_to_cells(
@@ -67,8 +68,9 @@ def wide_view(cells: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFr
     """One row per row key with the newest value of each listed cell; null where missing.
 
     Every row key of ``cells`` is kept, also one that has none of the listed cells. One
-    exchange, by row key: each task first reduces its cells to the newest per listed column,
-    however many versions a key holds.
+    exchange, by row key. For few columns each task first reduces its cells to the newest per
+    column, however many versions a key holds; for more than ``FEW_COLUMNS`` a test per column
+    and cell would cost more than that saves, so cells are dealt by key and reduced there.
     """
 
     def newest(family: str, column: str) -> Column:
@@ -78,10 +80,26 @@ def wide_view(cells: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFr
     listed = [(family, column) for family, columns in families.items() for column in columns]
     if not listed:
         return cells.select("row_key").distinct()
+    if len(listed) > FEW_COLUMNS:
+        return _many_columns(cells, listed)
     gathered = cells.groupBy("row_key").agg(*(newest(family, column) for family, column in listed))
     return gathered.select("row_key", *(F.col(f"`{column}`.value").alias(column) for _, column in listed))
 
 
+def _many_columns(cells: DataFrame, listed: Sequence[tuple[str, str]]) -> DataFrame:
+    name = F.concat_ws(":", "family", "qualifier")
+    is_listed = name.isin(*(f"{family}:{column}" for family, column in listed))
+    dealt = cells.select(
+        "row_key",
+        F.when(is_listed, name).alias("name"),
+        F.when(is_listed, F.struct("version_ts", "value")).alias("cell"),
+    ).repartition("row_key")
+    newest = dealt.groupBy("row_key", "name").agg(F.max("cell")["value"].alias("value"))
+    entry = F.when(F.col("name").isNotNull(), F.struct("name", "value"))
+    gathered = newest.groupBy("row_key").agg(F.map_from_entries(F.collect_list(entry)).alias("row"))
+    return gathered.selectExpr("row_key", *(f"row['{family}:{column}'] AS `{column}`" for family, column in listed))
+
+
 def wide_first(cells: DataFrame, families: Mapping[str, Sequence[str]], n: int) -> DataFrame:
     """The first ``n`` rows of the view in key order; the cells of other keys are not gathered."""
     first = cells.select("row_key").distinct().orderBy("row_key").limit(n)

@@ -148,6 +148,7 @@ def test_serving_reads_gather_once_and_only_what_is_asked_for(spark, tmp_path):
     frame = "SELECT concat('r', id) row_key, concat('v', id % 3) kind, 's' source, '' amount, '' k, timestamp '2024-01-01' version_ts"
     serving.write_cells(wide_to_cells(spark.sql(f"{frame} FROM range(100)"), EVENT_FAMILIES), path, "one")
     assert exchanges(serving.scan(spark, path, EVENT_FAMILIES)) == 1
+    assert exchanges(serving.scan(spark, path)) == 1  # all 86 columns
     first = serving.scan(spark, path, EVENT_FAMILIES, limit=3)
     text = first._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in text and "LeftSemi" in text  # keys are cut before the cells are gathered
