@@ -30,10 +30,10 @@ class Settings:
     train_rows: int = 4000  # most labelled rows that are learned from, taken by hash of the id
     buckets: int = 1 << 17
     dim: int = 8
-    epochs: int = 5
+    epochs: int = 6
     batch: int = 32
     rate: float = 1.0
-    vector_step: float = 20.0  # a vector gets a small share of a text's gradient; this scales it back
+    longest_row: float = 2.0  # most length of a row of the layer
     seed: int = 7
     threshold: float = 0.3
 
@@ -92,6 +92,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def train(texts: list[tuple[bytes, int]], settings: Settings) -> Model:
     """Stochastic gradient descent over small batches of texts; sparse rows of the vectors are updated.
 
+    A text's step is divided by the squared length of its features' shares, so it moves the
+    text's average by the rate whether many features or few make it up; a vector's step is the
+    mean over the texts of the batch that have it, so copies weigh no more than one; and the
+    layer's rows are kept within a length. Steps therefore stay bounded whatever the texts.
+
     Without rows, or with one class only, every score is that class's smoothed share.
     """
     bits = settings.buckets.bit_length() - 1
@@ -110,8 +115,7 @@ def train(texts: list[tuple[bytes, int]], settings: Settings) -> Model:
     vectors = random.uniform(-1.0, 1.0, (settings.buckets, settings.dim)).astype(np.float32) / settings.dim
     layer = random.normal(0.0, 0.5, (2, settings.dim)).astype(np.float32)
     offset = np.array([-prior / 2, prior / 2], dtype=np.float32)
-    steps = settings.epochs * -(-len(rows) // settings.batch)
-    done = 0
+    done, steps = 0, settings.epochs * -(-len(rows) // settings.batch)
     for _ in range(settings.epochs):
         order = random.permutation(len(rows))
         for low in range(0, len(rows), settings.batch):
@@ -127,13 +131,19 @@ def train(texts: list[tuple[bytes, int]], settings: Settings) -> Model:
             share /= share.sum(axis=1, keepdims=True)
             share[np.arange(len(label)), label] -= 1.0  # gradient of the softmax loss
             rate = settings.rate * (1.0 - done / steps)
-            back = share @ layer
-            layer -= rate * (share.T @ means)
-            offset -= 0.1 * rate * share.mean(axis=0)
-            sizes = np.diff(np.append(starts, len(index)))
-            step = np.repeat(back, sizes, axis=0) * value[:, None]
-            np.subtract.at(vectors, index, np.float32(rate * settings.vector_step) * step)
             done += 1
+            sizes = np.diff(np.append(starts, len(index)))
+            scale = value / np.repeat(np.add.reduceat(value * value, starts), sizes)
+            pull = np.repeat(share @ layer, sizes, axis=0) * scale[:, None]
+            by_bucket = np.argsort(index, kind="stable")
+            groups = np.flatnonzero(np.diff(index[by_bucket].astype(np.int64), prepend=-1))
+            often = np.diff(np.append(groups, len(index)))
+            vectors[index[by_bucket[groups]]] -= rate * np.add.reduceat(pull[by_bucket], groups) / often[:, None]
+            layer -= rate * (share.T @ means) / len(chosen)
+            layer /= np.maximum(np.linalg.norm(layer, axis=1, keepdims=True) / settings.longest_row, 1.0)
+            offset -= 0.1 * rate * share.mean(axis=0)
+    if not (np.isfinite(vectors).all() and np.isfinite(layer).all()):
+        raise ArithmeticError("training did not converge")
     return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(offset[1] - offset[0]), bits)
 
 

@@ -57,6 +57,18 @@ def test_averaged_vectors_give_the_gathered_score():
     assert np.allclose(scores, one)
 
 
+@pytest.mark.filterwarnings("error")
+def test_copies_and_texts_of_few_features_do_not_upset_training():
+    draw = np.random.default_rng(3)
+    good = ["plain text " + " ".join(f"w{x}" for x in draw.integers(0, 300, 80)) for _ in range(300)]
+    bad = ["Of " * int(draw.integers(20, 400)) for _ in range(60)] + ["!!! " + "A" * 50] * 40
+    texts = [(t.encode(), 1) for t in good + [good[0]] * 200] + [(t.encode(), 0) for t in bad]
+    model = quality.train(texts, quality.Settings(buckets=1 << 14))
+    scores = quality.score_texts(arrays.texts(pa.array([t.decode() for t, _ in texts])), model)
+    labels = np.array([y for _, y in texts])
+    assert (scores[labels == 1] > 0.5).all() and (scores[labels == 0] < 0.3).all()
+
+
 def test_repeats_are_a_feature():
     bits = 10
     plain, _ = quality.features(arrays.texts(pa.array(["ab cd ab"])), bits)
