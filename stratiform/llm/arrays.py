@@ -20,6 +20,18 @@ _RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+# First and last characters of scripts that are written without spaces, each character a word, and of
+# the punctuation between them.
+UNSPACED = np.array([
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF),
+    (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3040, 0x30FA), (0x30FC, 0x312F),
+    (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+])
+UNSPACED_MARKS = np.array([
+    (0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0x3036, 0x303F), (0x30FB, 0x30FB), (0xFE10, 0xFE1F),
+    (0xFE30, 0xFE4F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65),
+])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -99,6 +111,37 @@ def word_bounds(batch: Texts, between: np.ndarray = SPACE) -> tuple[np.ndarray,
     return start, np.flatnonzero(inside & ends) + 1
 
 
+def _within(codes: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    place = np.searchsorted(ranges[:, 0], codes, "right") - 1
+    return (place >= 0) & (codes <= ranges[np.maximum(place, 0), 1])
+
+
+def unspaced_words(batch: Texts, between: np.ndarray = NOT_ALNUM) -> Words:
+    """Words as by ``words``, but each character of a script without spaces is one, and its punctuation none."""
+    data = batch.data
+    lead = np.flatnonzero(data >= 0xE0)
+    width = np.where(data[lead] >= 0xF0, 4, 3)
+    tail = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    three = (data[lead].astype(np.int64) & 0x0F) << 12 | tail[0] << 6 | tail[1]
+    four = (data[lead].astype(np.int64) & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+    code = np.where(width == 4, four, three)
+    single, mark = _within(code, UNSPACED), _within(code, UNSPACED_MARKS)
+    if not (single.any() or mark.any()):
+        return words(batch, between)
+    inside = ~between[data]
+    for k in range(3):
+        inside[lead[mark] + k] = False
+    border = np.zeros(len(data) + 1, dtype=bool)
+    border[batch.offsets] = True
+    border[lead[single]] = True
+    border[lead[single] + width[single]] = True
+    begins, ends = border[:-1].copy(), border[1:].copy()
+    begins[1:] |= ~inside[:-1]
+    ends[:-1] |= ~inside[1:]
+    start, end = np.flatnonzero(inside & begins), np.flatnonzero(inside & ends) + 1
+    return Words(start, end, np.searchsorted(batch.offsets, start, "right") - 1, span_hashes(data, start, end))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of byte spans that are sorted and do not overlap, in pieces of bounded size."""
     out = np.zeros(len(start), dtype=np.uint64)

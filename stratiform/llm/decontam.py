@@ -8,7 +8,9 @@ a window. Traversal starts only for passages that hold enough of some item's rar
 reach the threshold even with all of its commoner ones.
 
 What is retrieved is verified word by word: three-word runs of the question and words of the
-answer have to stand in the passage. Words are runs of letters and digits, A-Z lowered.
+answer have to stand in the passage. Items of few words have no such runs to choose from: they are
+looked up by hash and have to stand in a text as one whole run of words. Words are runs of letters
+and digits, A-Z lowered; in scripts without spaces every character is a word.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stratiform.llm import arrays
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？｡])\s*")
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,7 @@ class Settings:
     common: float = 0.15  # share of an item's own score that its commonest terms may hold unseen
     question: float = 0.6  # least share of the question's three-word runs in the passage
     answer: float = 0.6  # least share of the answer's words in the passage
-    least_words: int = 8  # shorter items are common phrases, not leaks
+    least_words: int = 8  # shorter items have to stand as one whole run of words
     k1: float = 1.2
     b: float = 0.75
     block: int = 64  # postings in a block
@@ -47,17 +49,18 @@ class Item(NamedTuple):
     words: np.ndarray
     question: np.ndarray  # sorted hashes of three-word runs
     answer: np.ndarray  # sorted hashes of words
+    whole: list[np.ndarray]  # the text, and question and answer, as word sequences
 
 
 def split_item(text: str) -> tuple[str, str]:
     """Question and answer of a plain text: all sentences but the last, and the last; one sentence is both."""
-    parts = _SENTENCE.split(text.strip())
+    parts = [part for part in _SENTENCE.split(text.strip()) if part]
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
 def _hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    return arrays.words(arrays.Texts(raw, np.array([0, len(raw)])), arrays.NOT_ALNUM).hash
+    return arrays.unspaced_words(arrays.Texts(raw, np.array([0, len(raw)]))).hash
 
 
 def _runs(words: np.ndarray) -> np.ndarray:
@@ -66,8 +69,11 @@ def _runs(words: np.ndarray) -> np.ndarray:
 
 def make_item(item_id: int | None, question: str, answer: str, text: str) -> Item:
     """An item from its texts; a question of fewer than three words is replaced by the whole text."""
-    words, asked = _hashes(text), _hashes(question)
-    return Item(item_id, words, _runs(asked if len(asked) >= 3 else words), np.unique(_hashes(answer)))
+    words, asked, answered = _hashes(text), _hashes(question), _hashes(answer)
+    whole = [words]
+    if question != text and not np.array_equal(both := np.concatenate([asked, answered]), words) and len(both):
+        whole.append(both)
+    return Item(item_id, words, _runs(asked if len(asked) >= 3 else words), np.unique(answered), whole)
 
 
 class Index:
@@ -213,13 +219,45 @@ def _share(wanted: np.ndarray, present: np.ndarray) -> float:
     return float(np.isin(wanted, present).mean()) if len(wanted) else 1.0
 
 
-def build(items: list[Item], settings: Settings) -> list[Index]:
-    """An index per length class; a class holds items of up to twice the length of the class before."""
+class Phrases:
+    """Items of few words, by the hash of each one's whole word sequence."""
+
+    def __init__(self, items: list[Item]) -> None:
+        self.items = items
+        by_width: dict[int, list[tuple[int, int]]] = {}
+        for place, item in enumerate(items):
+            for words in item.whole:
+                key = arrays.run_hashes(words, np.zeros(len(words), dtype=np.int64), len(words))[0][0]
+                by_width.setdefault(len(words), []).append((int(key), place))
+        self.widths = []
+        for width, pairs in sorted(by_width.items()):
+            pairs.sort()
+            keys, first = np.unique(np.array([key for key, _ in pairs], dtype=np.uint64), return_index=True)
+            places = np.split(np.array([place for _, place in pairs]), first[1:])
+            self.widths.append((width, arrays.Members(keys), places))
+
+    def leaks(self, found: arrays.Words, border: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+        """Text, item, and full scores of all items that stand in some texts."""
+        out = set()
+        for width, members, places in self.widths:
+            runs, doc = arrays.run_hashes(found.hash, found.doc, width)
+            at, key = members.find(runs)
+            for pair in np.unique(doc[at] * len(places) + key).tolist():
+                out.update((pair // len(places), item) for item in places[pair % len(places)].tolist())
+        return [(text, item, 1.0, 1.0, 1.0) for text, item in sorted(out)]
+
+
+def build(items: list[Item], settings: Settings) -> list[Index | Phrases]:
+    """An index per length class, each of items of up to twice the length of the class before, and one of short items."""
     classes: dict[int, list[Item]] = {}
+    short = []
     for item in items:
         if len(item.words) >= settings.least_words:
             classes.setdefault((len(item.words) - 1).bit_length(), []).append(item)
-    return [Index(members, 1 << size, settings) for size, members in sorted(classes.items())]
+        elif len(item.words):
+            short.append(item)
+    indexes: list[Index | Phrases] = [Index(members, 1 << size, settings) for size, members in sorted(classes.items())]
+    return indexes + [Phrases(short)] if short else indexes
 
 
 def _items(rows) -> list[Item]:
@@ -235,7 +273,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
 
     ``docs`` needs doc_id and text; ``benchmark`` item_id and text, or item_id, question and
     answer as well. Other columns are ignored. Null or empty texts on either side match nothing,
-    nor do items of fewer than ``least_words`` words. Equal items are all found; rows that
+    nor do items without a word. Items of fewer than ``least_words`` words have to stand in a text as
+    one run of words, the answer right after the question. Equal items are all found; rows that
     repeat a document give its best scores. Rows without doc_id are matched under a null id.
 
     Items are indexed in parts of about ``shard_items`` and ``shard_chars``, which bounds what is
@@ -268,7 +307,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
 def _finder(indexes):
     def run(batch: pa.RecordBatch):
         for first, _, part in arrays.slices(arrays.texts(batch.column(1))):
-            found = arrays.words(part, arrays.NOT_ALNUM)
+            found = arrays.unspaced_words(part)
             border = arrays.per_text(part, found.doc)
             for index in indexes.value:
                 rows = index.leaks(found, border)

@@ -115,3 +115,42 @@ def test_clean_documents_are_left_alone(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     items = item_frame(spark, [(k, " ".join(f"x{k}y{j}" for j in range(20))) for k in range(30)])
     assert decontam.contaminated(docs, items).count() == 0
+
+
+def test_short_items_are_found_as_one_run_of_words(spark):
+    items = item_frame(spark, [(1, "Who wrote Faust? Goethe."), (2, "Capital of Peru? Lima."), (3, "Peru"), (4, "?!")])
+    docs = [
+        (1, "quiz: who wrote FAUST -- goethe, of course"),
+        (2, "who wrote faust if not goethe"),
+        (3, "wrote Faust Goethe who"),
+        (4, "the capital of peru lima"),
+        (5, "!?"),
+        (None, "Capital of Peru? Lima."),
+    ]
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert found(out) == {(1, 1), (4, 2), (4, 3), (None, 2), (None, 3)}
+    assert out.count() == 5 and all(r["score"] == 1.0 for r in out.collect())
+
+
+def test_short_questions_and_answers_in_columns(spark):
+    items = spark.createDataFrame(
+        [(1, "Faust by?", "Goethe", "Q: Faust by? A: Goethe"), (2, None, "forty two", "forty two")],
+        "item_id long, question string, answer string, text string",
+    )
+    docs = spark.createDataFrame(
+        [(1, "faust by Goethe"), (2, "Q Faust by A Goethe"), (3, "Goethe faust by"), (4, "forty-two")], "doc_id long, text string"
+    )
+    assert found(decontam.contaminated(docs, items)) == {(1, 1), (2, 1), (4, 2)}
+
+
+def test_items_in_scripts_without_spaces(spark):
+    long = "世界上最高的山峰叫什么名字？它叫珠穆朗玛峰。"
+    items = item_frame(spark, [(1, long), (2, "红色？苹果。"), (3, "ภูเขาที่สูงที่สุดในโลกคืออะไร เอเวอเรสต์")])
+    docs = [
+        (1, "今天我们问：世界上最高的山峰叫什么名字，它叫珠穆朗玛峰。谢谢大家"),
+        (2, "他说红色苹果很好吃"),
+        (3, "世界上最低的湖叫什么？红色。"),
+        (4, "ถามว่าภูเขาที่สูงที่สุดในโลกคืออะไรเอเวอเรสต์ครับ"),
+    ]
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert found(out) == {(1, 1), (2, 2), (4, 3)}
