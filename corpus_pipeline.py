@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratiform.llm import decontam, mixing, neardup, quality, wavelet
 from stratiform.llm.queries import tokenizer_path
-from stratiform.session import new_path, stage
+from stratiform.session import broadcast_within, new_path, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,15 +18,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    found = neardup.near_duplicates(docs)
-    return _without(docs, found.where("NOT kept").select("doc_id").distinct())
+    """One row of each group of near duplicates, that of the least id; rows without id come last.
+
+    Of rows of equal id and text one stays, with or without words.
+    """
+    row = mixing.draw().alias("_row")
+    found = neardup.near_duplicates(docs.select(row.alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")).distinct()
+    ids = docs.groupBy(row).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    rows = stage(ids.join(found, "_row"), "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first"))
+    kept = stage(first.select("first._row").join(rows.select("_row", "n"), "_row"), "kept")
+    again = stage(kept.where("n > 1").select("_row"), "again")
+    others = rows.select("_row").join(kept, "_row", "left_anti")
+    single = _without(docs, others.union(again))
+    if again.isEmpty():
+        return single
+    # Equal rows meet after each task has taken one of its own, however many there are.
+    repeated = docs.join(broadcast_within(again), mixing.draw() == F.col("_row"), "left_semi")
+    once = repeated.groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("one"))
+    return single.union(once.select("one.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id").distinct())
+    keyed = docs.select(mixing.draw().alias("doc_id"), "text")
+    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select(F.col("doc_id").alias("_row")).distinct())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +63,9 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return wavelet.read(wavelet.write(docs, tokenizer_path()))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``ids``; rows without id stay."""
-    return docs.join(stage(ids, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are not among ``rows``, by the hash of id and text: an id may be missing or repeated."""
+    return docs.join(stage(rows, "dropped"), mixing.draw() == F.col("_row"), "left_anti")
 
 
 STAGES = [

@@ -97,3 +97,23 @@ def test_empty_documents_pass_all_stages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_decisions_hold_for_rows_without_id_and_repeated_ids(spark, tmp_path):
+    plain = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(4)]
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [doc(None, plain[0]), doc(None, plain[0] + " more"), doc(5, plain[0])]  # one group, 5 has an id
+    rows += [doc(6, plain[1])] * 5 + [doc(6, plain[2]), doc(7, plain[1])]
+    rows += [doc(None, f"{plain[3]} {item}"), doc(8, f"before {item} after"), doc(8, "clean text under the same id"), doc(None, "")]
+    rows += [doc(None, "")] * 2 + [doc(9, None)] * 2
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    once = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert once.schema == docs.schema
+    want = {(5, plain[0]), (6, plain[1]), (6, plain[2]), (None, f"{plain[3]} {item}"), (8, f"before {item} after")}
+    want |= {(8, "clean text under the same id"), (None, ""), (9, None)}
+    assert set(pairs(once)) == want and once.count() == len(want)
+    clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert clean.schema == docs.schema
+    assert sorted(map(str, pairs(clean))) == sorted(str((r[0], r[1])) for r in rows if item not in (r[1] or ""))
