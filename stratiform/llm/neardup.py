@@ -39,6 +39,7 @@ BAND_ROWS = 4  # registers of 16 bits, so a band is 64 bits
 # Least and most shingles, buckets of a sketch, sketches: each kind gives 32 bands.
 KINDS = ((1, 64, 4, 32), (48, 683, 16, 8), (384, 1 << 62, 128, 1))
 BANDS = 32 * len(KINDS)
+SET = ["doc_id", "key_a", "key_b", "n"]  # a row of ``reps``: an id that stands with several texts has several sets
 IDS_LIMIT_BYTES = 32 * 1024 * 1024
 
 
@@ -221,7 +222,7 @@ def _links(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
 def _across(shared: DataFrame, reps: DataFrame, places: DataFrame, settings: Settings) -> DataFrame:
     """Likely pairs of documents that share a band but are not yet one component."""
     placed = shared.join(places, shared["doc_id"] == places["node"], "left").select(
-        "band", "doc_id", F.coalesce("component", "doc_id").alias("component")
+        "band", *SET, F.coalesce("component", "doc_id").alias("component")
     )
     open_bands = (
         placed.groupBy("band")
@@ -230,10 +231,10 @@ def _across(shared: DataFrame, reps: DataFrame, places: DataFrame, settings: Set
         .select("band", F.ceil(F.col("n") / settings.block).cast("int").alias("blocks"))
     )
     members = placed.join(open_bands, "band")
-    members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("doc_id", "key_a"), F.col("blocks")).cast("int"))
     members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    members = members.join(reps.select("doc_id", "n", "sketch", "marks"), "doc_id")
+    members = members.join(reps.select(*SET, "sketch", "marks"), SET)
     share = settings.percent / 100
 
     def meet(table: pa.Table) -> pa.Table:
@@ -279,11 +280,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = stage(full.groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(
-        classes.select(F.col("rep").alias("doc_id"), "key_a", "key_b", "n"), ["doc_id", "key_a", "key_b", "n"], "left_semi"
+        classes.select(F.col("rep").alias("doc_id"), "key_a", "key_b", "n"), SET, "left_semi"
     )
-    reps = stage(reps.dropDuplicates(["doc_id", "key_a", "key_b", "n"]), "reps")
+    reps = stage(reps.dropDuplicates(SET), "reps")
 
-    banded = reps.select(F.explode("bands").alias("band"), F.struct("doc_id", "n").alias("doc"))
+    banded = reps.select(F.explode("bands").alias("band"), F.struct("doc_id", "n").alias("doc"), "key_a", "key_b")
     leaders = banded.groupBy("band").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader <> last")
     shared = stage(banded.join(leaders.select("band", "leader"), "band"), "shared")
     share = settings.percent / 100
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     stars = stars.select(F.col("leader.doc_id").alias("a"), F.col("doc.doc_id").alias("b")).distinct()
     first = _links(stage(_likely(stars, reps, settings), "pairs"), docs, settings)
 
-    shared = shared.select("band", "doc.doc_id")
+    shared = shared.select("band", "doc.doc_id", "key_a", "key_b", "doc.n")
     more = stage(_across(shared, reps, components(first), settings), "pairs")
     links = first if more.isEmpty() else first.union(_links(more, docs, settings))
 

@@ -119,3 +119,16 @@ def test_connected_components(spark, shape):
     out = components.components(spark.createDataFrame(links, "a long, b long")).collect()
     want = {node: 5 for pair in links[:-3] for node in pair} | ({900: 900, 901: 900, 7000: 7000} if links else {})
     assert {r["node"]: r["component"] for r in out} == want
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_texts_of_one_id_without_the_band_stay_out_of_its_group(spark, block):
+    draw = random.Random(7)
+    text = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(text[:28] + [f"own{k}x{j}" for j in range(32)])) for k in range(12)]  # share bands, not linked
+    rows += [(k, " ".join(f"t{draw.randrange(10**6)}" for _ in range(40))) for k in range(12) for _ in range(6)]
+    rows += [(100, rows[-1][1]), (101, rows[3][1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = neardup.near_duplicates(docs, neardup.Settings(block=block))
+    assert found(out) == {(i, c, i == c) for i, c in brute(rows).items()}
+    assert out.count() == len(rows)
