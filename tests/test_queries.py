@@ -3,9 +3,12 @@
 import duckdb  # noqa: F401
 import pytest
 from compare import connect, differences
+from pyspark.sql import functions as F
+from test_serving import T1, gold_row
 
 import __spark_entry__ as entry
 from stratiform import registry
+from stratiform.registry import jobs
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -27,3 +30,15 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_reports_read_the_tables_as_they_are(spark, tmp_path, monkeypatch):
+    def rows(*delays):
+        path = gold_row(spark, tmp_path, *[(f"X{k}", T1, n, 1.0, "WAW", T1) for k, n in enumerate(delays)])
+        days = {f"departure_{part}": F.lit(k) for part, k in (("year", 2023), ("month", 12), ("day", 1))}
+        monkeypatch.setattr(jobs, "_gold", lambda spark, sf_dir: spark.read.parquet(path).withColumns(days))
+
+    for delays in ((10, 20), (40, 50, 60)):
+        rows(*delays)
+        assert [tuple(r) for r in jobs.mean_delay_by_airport(spark, "tables").collect()] == [("WAW", sum(delays) / len(delays))]
+        assert sorted(r["arrival_delay"] for r in jobs.rain_against_delay(spark, "tables").collect()) == list(delays)
