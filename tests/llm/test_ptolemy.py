@@ -1,0 +1,95 @@
+import hashlib
+
+import numpy as np
+import pytest
+from stratiform.llm import ptolemy
+from stratiform.llm.ptolemy import Settings
+
+SCHEMA = "vec_id long, embedding array<float>, cluster string, distance string, near string, parts string"
+CLASH = ("x",) * 4
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [float(x) for x in v], *CLASH) for i, v in rows], SCHEMA)
+
+
+def brute(rows, settings=Settings()):
+    """vec_id, cluster, distance of all rows that take part, in Python integers; and the centroids."""
+    kept = [(i, [int(np.floor(np.float64(np.float32(x)) * settings.scale)) for x in v]) for i, v in rows
+            if v is not None and len(v) == settings.dims and np.isfinite(np.float32(v)).all()]
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))
+    centroids = [v for _, v in order[: settings.clusters]]
+
+    def nearest(v):
+        return min((sum((x - y) ** 2 for x, y in zip(v, c, strict=True)), k) for k, c in enumerate(centroids))
+
+    for _ in range(settings.rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(nearest(v)[1], []).append(v)
+        centroids = [[sum(col) // len(groups[k]) for col in zip(*groups[k], strict=True)] if k in groups else c for k, c in enumerate(centroids)]
+    return sorted(((i, nearest(v)[1], nearest(v)[0]) for i, v in kept), key=str), centroids
+
+
+def assigned(found):
+    return sorted(((r["vec_id"], r["cluster"], r["distance"]) for r in found.collect()), key=str)
+
+
+def blobs(count, dims, groups, seed):
+    random = np.random.default_rng(seed)
+    centres = random.normal(0, 4, (groups, dims))
+    return [(k, (centres[k % groups] + random.normal(0, 0.3, dims)).astype(np.float32).tolist()) for k in range(count)]
+
+
+@pytest.mark.parametrize("clusters", [1, 2, 16])
+def test_assignment_is_that_of_a_full_search(spark, clusters):
+    settings = Settings(dims=6, clusters=clusters, sample=50)
+    rows = blobs(300, 6, 7, 1)
+    found, summary = ptolemy.cluster(frame(spark, rows), settings)
+    expected, centroids = brute(rows, settings)
+    assert assigned(found) == expected
+    listed = summary.orderBy("cluster").collect()
+    assert [r["centroid"] for r in listed] == centroids
+    for r in listed:
+        assert r["cluster_inertia"] == sum(d for _, c, d in expected if c == r["cluster"])
+        assert r["inertia"] == sum(d for _, _, d in expected)
+
+
+def test_bounds_never_exceed_the_distance_and_pass_over_centroids(spark):
+    random = np.random.default_rng(3)
+    points = random.integers(-900, 900, (200, 64))
+    pivots = ptolemy.Pivots(points[:40], Settings())
+    exact = ((points[:, None] - points[None, :16]) ** 2).sum(axis=2)
+    assert (pivots.bounds(pivots.distances(points), pivots.distances(points[:16])) <= exact).all()
+    found, _ = ptolemy.cluster(frame(spark, blobs(600, 64, 16, 2)))
+    assert found.selectExpr("avg(measured)").first()[0] < 8
+
+
+def test_equal_vectors_and_ties(spark):
+    settings = Settings(dims=2, clusters=3, sample=8)
+    rows = [(k, [1.0, 0.0]) for k in range(20)] + [(k, [-1.0, 0.0]) for k in range(20, 40)] + [(k, [0.0, 0.0]) for k in range(40, 60)]
+    found, _ = ptolemy.cluster(frame(spark, rows), settings)
+    assert assigned(found) == brute(rows, settings)[0]
+
+
+def test_awkward_vectors(spark):
+    settings = Settings(dims=3, clusters=4, sample=8)
+    rows = [
+        (1, None), (2, []), (3, [1.0, 2.0]), (4, [float("nan"), 0, 0]), (5, [float("inf"), 0, 0]), (None, [1.0, 1.0, 1.0]),
+        (6, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.0]), (6, [9.0, 2.0, 3.0]), (7, [-0.01, 0.01, 0.0]), (None, [5.0, 5.0, 5.0]),
+        (8, [3e6, -3e6, 1.0]),
+    ]
+    found, _ = ptolemy.cluster(frame(spark, rows), settings)
+    assert assigned(found) == brute(rows, settings)[0]
+    nulls = spark.createDataFrame([(1, [1.0, None, 2.0]), (2, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [r["vec_id"] for r in ptolemy.cluster(nulls, settings)[0].collect()] == [2]
+    assert ptolemy.cluster(frame(spark, []), settings)[0].count() == 0
+    assert ptolemy.cluster(frame(spark, rows[:5]), settings)[1].count() == 0
+
+
+def test_components_beyond_doubles(spark):
+    settings = Settings(dims=2, clusters=2, scale=64, sample=4)
+    rows = [(1, [1e14, 1.0]), (2, [-1e14, 0.0]), (3, [1.0, 1.0]), (4, [9.9e13, 5.0])]
+    found, _ = ptolemy.cluster(frame(spark, rows), settings)
+    for (i, cluster, distance), (j, other, exact) in zip(assigned(found), brute(rows, settings)[0], strict=True):
+        assert (i, cluster) == (j, other) and distance == (exact if exact < 1 << 63 else None)
