@@ -54,6 +54,7 @@ class Settings:
     least_words: int = 20
     most_repeated: int = 30  # percent of the words
     most_marks: int = 10  # percent of a line's characters
+    few_marks: int = 2  # marks that any line may have
     longest_link: int = 30  # mean characters of what lies between signs in a row of links
     longest_links: int = 200  # characters of a line that is nothing but the words of links
     least_kept: int = 50  # percent of the word characters
@@ -117,7 +118,7 @@ def line_fails(line: Column, settings: Settings = Settings()) -> Column:
         plain = F.translate(trimmed, UPPER, LOWER)
         no_end = ~F.lit(ENDS).contains(F.substring(trimmed, -1, 1))
         marks = F.length(trimmed) - F.length(_without(trimmed, MARKS))
-        marked = 100 * marks > settings.most_marks * F.length(trimmed)
+        marked = (marks > settings.few_marks) & (100 * marks > settings.most_marks * F.length(trimmed))
         signs = F.length(trimmed) - F.length(_without(trimmed, LINK_SIGNS))
         row = (signs >= 2) & (F.length(trimmed) <= settings.longest_link * (signs + 1))
         links = row | (F.length(trimmed) <= settings.longest_links) & plain.rlike(LINK_WORDS)

@@ -257,7 +257,8 @@ def _line_rules_sql() -> str:
     return rf"""
         WITH docs AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
         listed AS (
-            SELECT *, regexp_extract_all(text, '[^ 	-]+') AS w,
+            SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS w,
                    translate(text, {space}, '') AS packed, string_split(text, chr(10)) AS lines
             FROM docs
         ),
@@ -271,7 +272,7 @@ def _line_rules_sql() -> str:
         judged AS (
             SELECT row, line, translate(line, {space}, '') AS packed, t,
                    t <> '' AND (NOT contains({quoted(linerules.ENDS)}, right(t, 1))
-                   OR 100 * {count("t", linerules.MARKS)} > 10 * length(t)
+                   OR ({count("t", linerules.MARKS)} > 2 AND 100 * {count("t", linerules.MARKS)} > 10 * length(t))
                    OR ({signs} >= 2 AND length(t) <= 30 * ({signs} + 1))
                    OR (length(t) <= 200 AND regexp_matches({plain}, {quoted(linerules.LINK_WORDS)}))
                    OR {phrases}) AS fails
