@@ -67,10 +67,11 @@ def merge_wide(df: DataFrame, key: str, columns: Sequence[str], newest: Sequence
 def wide_view(cells: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
     """One row per row key with the newest value of each listed cell; null where missing.
 
-    Every row key of ``cells`` is kept, also one that has none of the listed cells. One
-    exchange, by row key. For few columns each task first reduces its cells to the newest per
-    column, however many versions a key holds; for more than ``FEW_COLUMNS`` a test per column
-    and cell would cost more than that saves, so cells are dealt by key and reduced there.
+    Every row key of ``cells`` is kept, also one that has none of the listed cells. Each task
+    first reduces its cells to the newest per key and column, however many versions a key holds.
+    For few columns one exchange by row key follows; for more than ``FEW_COLUMNS`` a test per
+    column and cell would cost more than a second exchange. A table of puts (``puts.view``) needs
+    one exchange for any number of columns.
     """
 
     def newest(family: str, column: str) -> Column:
@@ -89,12 +90,12 @@ def wide_view(cells: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFr
 def _many_columns(cells: DataFrame, listed: Sequence[tuple[str, str]]) -> DataFrame:
     name = F.concat_ws(":", "family", "qualifier")
     is_listed = name.isin(*(f"{family}:{column}" for family, column in listed))
-    dealt = cells.select(
+    named = cells.select(
         "row_key",
         F.when(is_listed, name).alias("name"),
         F.when(is_listed, F.struct("version_ts", "value")).alias("cell"),
-    ).repartition("row_key")
-    newest = dealt.groupBy("row_key", "name").agg(F.max("cell")["value"].alias("value"))
+    )
+    newest = named.groupBy("row_key", "name").agg(F.max("cell")["value"].alias("value"))
     entry = F.when(F.col("name").isNotNull(), F.struct("name", "value"))
     gathered = newest.groupBy("row_key").agg(F.map_from_entries(F.collect_list(entry)).alias("row"))
     return gathered.selectExpr("row_key", *(f"row['{family}:{column}'] AS `{column}`" for family, column in listed))

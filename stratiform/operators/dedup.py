@@ -31,3 +31,9 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) ->
     ties = [c for c in df.columns if c not in keys and c not in newest]
     row = F.max(F.struct(*newest, *ties)).alias("_newest")
     return df.groupBy(*keys).agg(row).select(*keys, "_newest.*").select(*df.columns)
+
+
+def least_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The least row of every key, all other columns compared in their order; one row per key and task is shuffled."""
+    row = F.min(F.struct(*(c for c in df.columns if c not in keys))).alias("_least")
+    return df.groupBy(*keys).agg(row).select(*keys, "_least.*").select(*df.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform import sinks
+from stratiform.snapshots import Snapshots, batch_folder
 from stratiform.sources.envelope import list_files, quarantined
 from stratiform.sources.tables import read_table
 
@@ -26,7 +27,9 @@ def ingest_files(
 
     ``write`` gets paths and the name of their batch and must replace what it wrote for that
     batch before. Batches that an earlier run planned but did not finish come first, with
-    exactly their files. With ``archive`` the files of a batch are moved there afterwards.
+    exactly their files. A batch becomes visible to ``read_committed`` when the table's next
+    snapshot lists it; one that is listed is not written again. With ``archive`` the files of a
+    batch are moved there afterwards.
     """
     manifest = sinks.Manifest(spark, table)
     batches = list(manifest.unfinished().items())
@@ -36,9 +39,13 @@ def ingest_files(
     batches.append(manifest.plan(files))
     if not any(paths for _, paths in batches) and read_table(spark, table) is None:
         write([], batches[-1][0])  # a table without rows
+        Snapshots(spark, table).commit([batch_folder(batches[-1][0])])
+    snapshots = Snapshots(spark, table)
     for batch, paths in batches:
         if paths:
-            write(paths, batch)
+            if batch_folder(batch) not in snapshots.folders():
+                write(paths, batch)
+                snapshots.commit([batch_folder(batch)])
             manifest.finish(batch)
             if archive is not None:
                 sinks.archive(spark, paths, archive)

@@ -1,8 +1,8 @@
 """Gold rows to versioned serving cells.
 
-The cells table is an append log with a folder per run and family: writing a run again
-replaces that run only. Reading resolves versions, and ``compact`` replaces the runs by one
-that holds no more than the retained versions.
+The cells table is an append log of puts (``operators.puts``) with a folder per run and family:
+writing a run again replaces that run only. Reading resolves versions, and ``compact`` replaces
+the runs by one that holds no more than the retained versions.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform.functions.text import row_key
-from stratiform.operators.cells import CELL, MAX_VERSIONS, newest_versions, wide_first, wide_to_cells, wide_view, wide_where
+from stratiform.operators import puts
+from stratiform.operators.cells import CELL, MAX_VERSIONS, newest_versions
 from stratiform.plans.fixed import SERVING_FAMILIES
-from stratiform.plans.gold import DEPARTURE_DAY
 from stratiform.sinks import delete_folder, new_batch
 from stratiform.sources.envelope import list_files
 from stratiform.sources.tables import read_table
@@ -43,17 +43,22 @@ def keyed(
     )
 
 
-def write_cells(cells: DataFrame, path: str, run_id: str, fresh: bool = False) -> None:
+def write_puts(table: DataFrame, path: str, run_id: str, fresh: bool = False) -> None:
     """Add one run to the table; a run of this name is replaced, others stay unless ``fresh``."""
-    spark = cells.sparkSession
+    spark = table.sparkSession
     others = [run for run in _runs(spark, path) if run != run_id] if fresh else []
-    cells.write.partitionBy("family").option("partitionOverwriteMode", "static").mode("overwrite").parquet(
+    table.write.partitionBy("family").option("partitionOverwriteMode", "static").mode("overwrite").parquet(
         f"{path}/{RUN}={run_id}"
     )
     for other in others:
         delete_folder(spark, f"{path}/{RUN}={other}")
 
 
+def write_cells(cells: DataFrame, path: str, run_id: str, fresh: bool = False) -> None:
+    """``write_puts`` of single cells (row_key, family, qualifier, value, version_ts)."""
+    write_puts(puts.cells_to_puts(cells), path, run_id, fresh)
+
+
 def _runs(spark: SparkSession, path: str) -> list[str]:
     """Names of the runs, from the folders."""
     files = list_files(spark, f"{path}/{RUN}=*/*/*.parquet")
@@ -66,7 +71,7 @@ def read_cells(spark: SparkSession, path: str, versions: int = MAX_VERSIONS) ->
     table = read_table(spark, path)
     if table is None:
         return spark.createDataFrame([], CELLS)
-    by_time = table.groupBy(*CELL, "version_ts").agg(F.max("value").alias("value"))
+    by_time = puts.puts_to_cells(table).groupBy(*CELL, "version_ts").agg(F.max("value").alias("value"))
     return newest_versions(by_time.select(*CELL, "value", "version_ts"), versions)
 
 
@@ -84,12 +89,12 @@ def scan(
     cell are kept unless ``keep_missing`` is false. Give one of ``limit`` and ``where``.
     """
     table = read_table(spark, path)
-    cells = spark.createDataFrame([], CELLS) if table is None else table
+    table = spark.createDataFrame([], puts.PUTS) if table is None else table
     if where is not None:
         column, value = where
         family = next(f for f, columns in SERVING_FAMILIES.items() if column in columns)
-        return wide_where(cells, families, (family, column), value, keep_missing)
-    return wide_view(cells, families) if limit is None else wide_first(cells, families, limit)
+        return puts.view_where(table, families, (family, column), value, keep_missing)
+    return puts.view(table, families) if limit is None else puts.view_first(table, families, limit)
 
 
 def compact(spark: SparkSession, path: str, target: str | None = None, versions: int = MAX_VERSIONS) -> None:
@@ -101,9 +106,9 @@ def compact(spark: SparkSession, path: str, target: str | None = None, versions:
     """
     runs = _runs(spark, path)
     if target is not None:
-        write_cells(read_cells(spark, path, versions), target, "compacted", fresh=True)
+        write_puts(puts.gathered(read_cells(spark, path, versions)), target, "compacted", fresh=True)
     elif runs:
-        write_cells(read_cells(spark, path, versions), path, f"compacted-{new_batch()}")
+        write_puts(puts.gathered(read_cells(spark, path, versions)), path, f"compacted-{new_batch()}")
         for run_id in runs:
             delete_folder(spark, f"{path}/{RUN}={run_id}")
 
@@ -122,7 +127,8 @@ def run(
     """
     table = spark.read.parquet(gold)
     if since is not None:
-        table = table.where(F.make_date(*(F.col(c) for c in DEPARTURE_DAY)) >= F.lit(since))
-        table = table.where(F.col(DEPARTURE_DAY[0]) >= since.year)
-    write_cells(wide_to_cells(keyed(table), SERVING_FAMILIES), path, run_id or new_batch(), fresh)
+        # The year prunes folders, the time row groups: rows are sorted by it.
+        table = table.where(F.col("departure_year") >= since.year)
+        table = table.where(F.col("departure_scheduled") >= F.lit(since).cast("timestamp"))
+    write_puts(puts.wide_to_puts(keyed(table), SERVING_FAMILIES), path, run_id or new_batch(), fresh)
     return table.where(~reduce(and_, (F.col(c).isNotNull() for c in KEY_PARTS))).count()

@@ -9,28 +9,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratiform.snapshots import BATCH
 from stratiform.sources.tables import read_table
 
-BATCH = "ingest_batch"
 
-
-def laid_out(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Group rows by partition value for the write.
+def laid_out(df: DataFrame, partition_by: Sequence[str], sort_by: Sequence[str] = ()) -> DataFrame:
+    """Group rows by partition value for the write, and sort them within files.
 
     Without this every task writes a file into every partition it meets. Rebalancing lets
     AQE merge small partitions and split a hot one into several files of advisory size.
     """
-    return df.hint("rebalance", *partition_by) if partition_by else df
+    grouped = df.hint("rebalance", *partition_by) if partition_by else df
+    return grouped.sortWithinPartitions(*partition_by, *sort_by) if sort_by else grouped
 
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     laid_out(df, partition_by).write.partitionBy(*partition_by).mode("append").parquet(path)
 
 
-def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
     """Replace the whole table."""
     (
-        laid_out(df, partition_by)
+        laid_out(df, partition_by, sort_by)
         .write.partitionBy(*partition_by)
         .option("partitionOverwriteMode", "static")
         .mode("overwrite")
@@ -38,10 +38,10 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     )
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str], sort_by: Sequence[str] = ()) -> None:
     """Replace only the partitions that ``df`` has rows for."""
     (
-        laid_out(df, partition_by)
+        laid_out(df, partition_by, sort_by)
         .write.partitionBy(*partition_by)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
@@ -61,9 +61,9 @@ def new_batch() -> str:
 class Manifest:
     """Which delivered files a table holds, beside the table.
 
-    A batch is planned with its files before any row is written and finished after all rows
-    are; readers of the table see its rows either way, and a batch that was planned but not
-    finished is written again, as a whole, by the next run. So every file's rows are in the
+    A batch is planned with its files before any row is written and finished after a snapshot
+    lists it; readers of snapshots see its rows from then on. A batch that was planned but not
+    listed is written again, as a whole, by the next run. So every file's rows are in the
     table once. A file is known by path, modification time and length. One job at a time
     writes a table.
     """

@@ -1,5 +1,5 @@
-from stratiform.streaming.dedup import deduplicated, keep_newest, read_newest
+from stratiform.streaming.dedup import deduplicated, keep_first, keep_newest, read_first, read_newest
 from stratiform.streaming.ingest import envelope_stream, ingest_flights, ingest_records
 from stratiform.streaming.upsert import upsert_cells
 
-__all__ = ["deduplicated", "envelope_stream", "ingest_flights", "ingest_records", "keep_newest", "read_newest", "upsert_cells"]
+__all__ = ["deduplicated", "envelope_stream", "ingest_flights", "ingest_records", "keep_first", "keep_newest", "read_first", "read_newest", "upsert_cells"]

@@ -1,20 +1,26 @@
-"""Deduplication of re-polled snapshots on a stream: the first copy in state, or the newest in a log."""
+"""Deduplication of re-polled snapshots on a stream: the first copy in state or in a log, or the newest in a log."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratiform import sinks
-from stratiform.operators.dedup import latest_per_key
+from stratiform.operators.dedup import latest_per_key, least_per_key
+from stratiform.session import scratch, stage
+from stratiform.snapshots import Snapshots, batch_folder
 from stratiform.sources.tables import read_table
 from stratiform.streaming.ingest import query_id
 
 # Fixed class name of Spark's disk-backed state store, for state larger than the heap.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY = "event_day"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -28,6 +34,8 @@ def deduplicated(
 ) -> DataFrame:
     """The first row of every key, forgetting a key after ``horizon``.
 
+    Rows that arrive later than ``horizon`` behind the newest time seen are dropped by the
+    engine, so this is for sources that deliver in order of time; ``keep_first`` keeps them.
     ``horizon`` bounds the state and must cover the time between copies. ``spread_by``
     are columns that differ between copies, such as the source file: a first stage then
     deduplicates per key and spread bucket, so a hot key is shared by ``spread`` tasks and
@@ -44,6 +52,60 @@ def deduplicated(
     return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
+def keep_first(
+    stream: DataFrame,
+    keys: Sequence[str],
+    event_time: str,
+    horizon: dt.timedelta,
+    path: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Write the first row of every key, in whatever order of time rows arrive; ``read_first`` reads them.
+
+    There is no watermark and no state, so no row is late. What was written is the record of the
+    keys that were seen: it lies by day of the event, and a batch is compared with the days that
+    it touches only, widened by ``horizon``, the most that the times of a key's copies differ. Days
+    that nothing arrives for are never read. Rows whose time is null are compared with those.
+
+    Of copies in one batch the least row stays. A batch is put in place by a snapshot; a repeated one
+    that is listed already is passed over, and otherwise replaces what it left.
+    """
+    apart = dt.timedelta(days=-(-horizon // dt.timedelta(days=1)))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        snapshots = Snapshots(spark, path)
+        name = f"{query_id(spark, checkpoint)}-{batch_id}"
+        if batch_folder(name) in snapshots.folders():
+            return
+        with scratch(spark):
+            rows = stage(least_per_key(batch, keys).withColumn(DAY, F.to_date(event_time)), "first")
+            known = snapshots.read()
+            if known is not None:
+                low, high = rows.agg(F.min(DAY), F.max(DAY)).first()
+                there = F.col(DAY).isNull() & F.lit(rows.where(F.col(DAY).isNull()).count() > 0)
+                if low is not None:
+                    there |= F.col(DAY).between(F.lit(low - apart), F.lit(high + apart))
+                seen = known.where(there).select(*(F.col(k).alias(f"_{k}") for k in keys))
+                same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+                rows = rows.join(seen, same, "left_anti")
+            sinks.write_batch(rows, path, name, [DAY])
+        snapshots.commit([batch_folder(name)])
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_first(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``keep_first`` has written, or None if there is nothing yet."""
+    table = Snapshots(spark, path).read()
+    return None if table is None else table.drop(DAY, sinks.BATCH)
+
+
 def keep_newest(
     stream: DataFrame, keys: Sequence[str], newest: Sequence[str], path: str, checkpoint: str
 ) -> StreamingQuery:

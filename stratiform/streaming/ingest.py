@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stratiform.plans import flights
 from stratiform.sinks import Manifest
+from stratiform.snapshots import Snapshots, batch_folder
 from stratiform.sources.envelope import parse_envelopes, records, with_source
 
 FILES_PER_BATCH = 1000
@@ -59,13 +60,16 @@ def ingest_flights(
     """Flights to silver and quarantine.
 
     A batch of the stream is a batch of the tables, named after the query, so a repeated one
-    replaces itself. Files that a batch job has ingested already are left out.
+    replaces itself, or is left alone if a snapshot lists it already. Files that a batch job has ingested already are left out.
     """
 
     def write(lines: DataFrame, batch_id: int) -> None:
         manifest = Manifest(lines.sparkSession, silver)
         batch = f"{query_id(lines.sparkSession, checkpoint)}-{batch_id}"
-        flights.write(manifest.without_known(lines, batch), silver, quarantine, batch, literal)
+        snapshots = Snapshots(lines.sparkSession, silver)
+        if batch_folder(batch) not in snapshots.folders():
+            flights.write(manifest.without_known(lines, batch), silver, quarantine, batch, literal)
+            snapshots.commit([batch_folder(batch)])
         manifest.note(batch, manifest.without_known(lines, batch))
 
     return (

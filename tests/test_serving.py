@@ -140,7 +140,8 @@ def test_mean_delay(spark, published):
 
 
 def test_cells_are_text(spark, published):
-    assert dict(spark.read.parquet(published).dtypes)["value"] == "string"
+    assert dict(serving.read_cells(spark, published).dtypes)["value"] == "string"
+    assert dict(spark.read.parquet(published).dtypes)["cells"] == "map<string,string>"
     assert bind_by_name(spark.createDataFrame([(1,)], "x int"), "x string, y int").first() == ("1", None)
 
 

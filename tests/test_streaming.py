@@ -2,12 +2,13 @@
 
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from stratiform.plans import flights, serving
-from stratiform.streaming import deduplicated, envelope_stream, ingest_flights, upsert_cells
+from stratiform.streaming import deduplicated, envelope_stream, ingest_flights, keep_first, read_first, upsert_cells
 from stratiform.streaming.dedup import ROCKSDB, STATE_STORE
 
 FILES = [f"flights_2023-12-0{k}-00-00-00.json" for k in (1, 2, 3)]
@@ -85,6 +86,38 @@ def test_dedup_across_batches(spark, tmp_path, spread_by):
     assert sorted(row.key for row in spark.read.parquet(out).collect()) == list(range(20))
 
 
+@pytest.mark.parametrize("order", ["forward", "backward", "mixed"])
+@pytest.mark.parametrize("files", [1, 1000])
+def test_no_row_is_late_for_the_log(spark, tmp_path, order, files):
+    """The same rows by any number of files a batch and in any order of time."""
+    source, out = str(tmp_path / "source"), str(tmp_path / "out")
+    start = dt.datetime(2024, 1, 1, 23, 30)
+    polls = [[(key, start + dt.timedelta(hours=17 * key, minutes=50 * poll), poll) for key in range(40)] for poll in range(2)]
+    rows = [row for poll in polls for row in poll] + [(None, start, 0), (None, None, 0), (None, None, 1)]
+    rows.sort(key=lambda r: str(r[1]), reverse=order == "backward")
+    if order == "mixed":
+        random.Random(4).shuffle(rows)
+    schema = "key int, ts timestamp, poll int"
+    for low in range(0, len(rows), 17):
+        spark.createDataFrame(rows[low : low + 17], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    finish(keep_first(stream, ["key"], "ts", dt.timedelta(hours=1), out, f"{out}-state"))
+    assert sorted(row.key for row in read_first(spark, out).where("key IS NOT NULL").collect()) == list(range(40))
+
+
+def test_a_repeated_batch_of_the_log_changes_nothing(spark, tmp_path):
+    source, out = str(tmp_path / "source"), str(tmp_path / "out")
+    schema = "key int, ts timestamp"
+    for day in (1, 2):
+        spark.createDataFrame([(day, dt.datetime(2024, 1, day))], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    finish(keep_first(stream(), ["key"], "ts", dt.timedelta(days=1), out, f"{out}-state"))
+    for name in ("1", ".1.crc"):  # the engine did not learn that its last batch was done
+        os.remove(f"{out}-state/commits/{name}")
+    finish(keep_first(stream(), ["key"], "ts", dt.timedelta(days=1), out, f"{out}-state"))
+    assert sorted(row.key for row in read_first(spark, out).collect()) == [1, 2]
+
+
 def test_upsert_merges_batches(spark, tmp_path):
     source, path = str(tmp_path / "source"), str(tmp_path / "cells")
     families = {"f": ["a", "b"]}
