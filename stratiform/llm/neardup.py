@@ -10,11 +10,14 @@ Candidates pass if the Jaccard estimate of their sketches, corrected for registe
 chance, is within five standard errors of the threshold, and are linked if the exact similarity
 of the full sets reaches it.
 
-No group is paired out. Documents with equal sets count once. In each band only the links to
-its least document are tried first; then bands whose documents already are one component are
-done, and in the others documents of different components meet in blocks of bounded size,
-each pair in the first band that it shares. Two documents of a band are therefore always tried
-or already connected.
+No group is paired out. Documents with equal sets count once. In each band the links to one
+leader are tried first, its least document. Bands whose documents are one component by then are
+done; the others elect another leader, the document with most links so far, which is the centre
+where copies are linked through one text only, and so on in rounds as long as these shrink what
+is left. What stays apart, mostly texts that share a passage and no more, meets in blocks of
+bounded size, each pair in the first band that it shares; there the full sets of all but long
+texts are compared at once, so that no list of pairs is made that are not links. Two documents of
+a band are therefore always tried or already connected.
 
 At the threshold of 0.75 a pair shares none of 32 bands with a probability of about 5 in a
 million.
@@ -48,6 +51,8 @@ class Settings:
     words: int = 5
     percent: int = 75  # least similarity, in hundredths
     block: int = 1024  # documents of a band that meet in one task, with as many others
+    exact: int = 1024  # most shingles of a set that is compared in full where documents meet
+    shrink: float = 0.8  # another round of leaders follows if the last one left at most this share
 
 
 def shingles(batch: arrays.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +143,7 @@ def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
         for first, last, part in arrays.slices(arrays.texts(batch.column(1))):
             hashes, border = shingles(part, settings.words)
             sizes = np.diff(border)
-            sums = np.zeros((2, last - first), dtype=np.uint64)
-            if len(hashes):
-                filled = sizes > 0
-                for k, values in enumerate((arrays.mix(hashes), second_hashes(hashes))):
-                    sums[k, filled] = np.add.reduceat(values, border[:-1][filled])
+            sums = _sums(hashes, border)
             sketch = registers(hashes, border)
             keys = bands(hashes, border)
             filled = sizes > 0
@@ -166,16 +167,36 @@ def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def _sums(hashes: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Two sums over each set, which tell different sets apart."""
+    sums = np.zeros((2, len(border) - 1), dtype=np.uint64)
+    filled = np.diff(border) > 0
+    if len(hashes):
+        for k, values in enumerate((arrays.mix(hashes), second_hashes(hashes))):
+            sums[k, filled] = np.add.reduceat(values, border[:-1][filled])
+    return sums
+
+
 def _sets(docs: DataFrame, settings: Settings) -> DataFrame:
     def run(batch: pa.RecordBatch):
         for first, last, part in arrays.slices(arrays.texts(batch.column(1)), 1 << 20):
             hashes, border = shingles(part, settings.words)
+            sums = _sums(hashes, border)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), _list_column(hashes, border)], ["doc_id", "members"]
+                [
+                    batch.column(0).slice(first, last - first),
+                    pa.array(sums[0].view(np.int64)),
+                    pa.array(sums[1].view(np.int64)),
+                    pa.array(np.diff(border).astype(np.int64)),
+                    _list_column(hashes, border),
+                ],
+                [*SET, "members"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(arrays.mapper(run), f"doc_id {kind}, members array<long>")
+    return docs.select("doc_id", "text").mapInArrow(
+        arrays.mapper(run), f"doc_id {kind}, key_a long, key_b long, n long, members array<long>"
+    )
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
@@ -201,6 +222,10 @@ def _likely(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
     return joined.mapInArrow(arrays.mapper(run), f"a {kind}, b {kind}")
 
 
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").join(broadcast_within(ids, IDS_LIMIT_BYTES), "doc_id", "left_semi")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """The pairs whose full sets reach the threshold.
 
@@ -208,8 +233,7 @@ def _links(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     broadcast if they measure at most 32 MB, and joined by a shuffle beyond that.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    concerned = docs.select("doc_id", "text").join(broadcast_within(ids, IDS_LIMIT_BYTES), "doc_id", "left_semi")
-    sets = stage(_sets(concerned, settings), "sets")
+    sets = stage(_sets(_of(docs, ids), settings), "sets")
     a = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
@@ -219,32 +243,78 @@ def _links(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     return stage(linked.select("a", "b"), "verified")
 
 
-def _across(shared: DataFrame, reps: DataFrame, places: DataFrame, settings: Settings) -> DataFrame:
-    """Likely pairs of documents that share a band but are not yet one component."""
-    placed = shared.join(places, shared["doc_id"] == places["node"], "left").select(
-        "band", *SET, F.coalesce("component", "doc_id").alias("component")
-    )
-    open_bands = (
-        placed.groupBy("band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-        .where("low <> high")
-        .select("band", F.ceil(F.col("n") / settings.block).cast("int").alias("blocks"))
-    )
-    members = placed.join(open_bands, "band")
+def _open(members: DataFrame) -> DataFrame:
+    """The rows of bands that hold more than one component."""
+    bands = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return members.join(bands.where("low <> high").select("band"), "band")
+
+
+def _merged(members: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``members`` with the components that the links join put together."""
+    ends = pairs.join(links, ["a", "b"]).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    return _relabelled(members, components(ends))
+
+
+def _relabelled(members: DataFrame, places: DataFrame) -> DataFrame:
+    moved = places.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return members.join(moved, "component", "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")
+
+
+def _led(members: DataFrame, links: DataFrame, settings: Settings, number: int) -> tuple[DataFrame, DataFrame]:
+    """The members, with new leaders marked, and each leader's pairs with the members of other components.
+
+    A band's leader is, of those that have not led it, the document with most links, then the first
+    in an order that changes with the round.
+    """
+    ends = links.select(F.col("a").alias("doc_id")).union(links.select("b"))
+    degrees = ends.groupBy("doc_id").agg(F.count("*").alias("degree"))
+    ranked = members.join(degrees, "doc_id", "left")
+    order = F.struct(
+        F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64(F.lit(number), "doc_id").alias("order"),
+        "doc_id", "key_a", "key_b", "n", "component",
+    )
+    leaders = ranked.groupBy("band").agg(F.max(F.when(~F.col("led"), order)).alias("leader"))
+    both = stage(members.join(leaders, "band"), "led")
+    is_leader = (F.col("doc_id") == F.col("leader.doc_id")) & (F.col("key_a") == F.col("leader.key_a"))
+    marked = both.withColumn("led", F.col("led") | F.coalesce(is_leader, F.lit(False))).drop("leader")
+    share = settings.percent / 100
+    near = F.least("n", "leader.n") >= share * F.greatest("n", "leader.n") - 1e-9
+    pairs = both.where((F.col("component") != F.col("leader.component")) & near).select(
+        F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"),
+        F.when(F.col("doc_id") < F.col("leader.doc_id"), F.col("component")).otherwise(F.col("leader.component")).alias("component_a"),
+        F.when(F.col("doc_id") < F.col("leader.doc_id"), F.col("leader.component")).otherwise(F.col("component")).alias("component_b"),
+    )
+    return marked, stage(pairs.distinct(), "led-pairs")
+
+
+def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of documents that share a band but are not one component: a, b, sure.
+
+    A pair is ``sure`` if its full sets reach the threshold; pairs with a longer set are only likely.
+    """
+    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / settings.block).cast("int").alias("blocks"))
+    small = members.where(F.col("n") <= settings.exact).select("doc_id").distinct()
+    sets = _sets(_of(docs, small), settings).where(F.col("n") <= settings.exact).dropDuplicates(SET)
+    carried = reps.select(*SET, "sketch", "marks").join(members.select(*SET).distinct(), SET, "left_semi")
+    carried = stage(carried.join(sets, SET, "left"), "carried")
+    members = members.join(blocks, "band")
     members = members.withColumn("own", F.pmod(F.xxhash64("doc_id", "key_a"), F.col("blocks")).cast("int"))
     members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    members = members.join(reps.select(*SET, "sketch", "marks"), SET)
+    members = members.select("band", "low", "high", "own", "component", *SET).join(carried, SET)
     share = settings.percent / 100
 
     def meet(table: pa.Table) -> pa.Table:
         matrix, marks = _matrix(table.column("sketch"), BUCKETS, np.uint16), _matrix(table.column("marks"), BANDS, np.uint32)
         sizes, component = table.column("n").to_numpy(), table.column("component").to_numpy()
         own, low, high = (table.column(x).to_numpy() for x in ("own", "low", "high"))
+        full = table.column("members").combine_chunks()
+        border, values = full.offsets.to_numpy(), full.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        known = sizes <= settings.exact
         key = np.int64(table.column("band")[0].as_py()).view(np.uint64) >> np.uint64(32)
         here = int(np.flatnonzero(marks[0] == key)[0])
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found_a, found_b = [], []
+        found: list[tuple[int, int, bool]] = []
         for k in left:
             others = right[component[right] != component[k]]
             if low[0] == high[0]:
@@ -257,14 +327,21 @@ def _across(shared: DataFrame, reps: DataFrame, places: DataFrame, settings: Set
             others = others[fits]
             if here:
                 others = others[~((marks[others, :here] == marks[k, :here]) & (marks[k, :here] != 0)).any(axis=1)]
-            found_a += [k] * len(others)
-            found_b += others.tolist()
+            mine = values[border[k] : border[k + 1]]
+            for other in others:
+                sure = bool(known[k] and known[other])
+                if sure:
+                    common = len(np.intersect1d(mine, values[border[other] : border[other + 1]], assume_unique=True))
+                    if 100 * common < settings.percent * (sizes[k] + sizes[other] - common):
+                        continue
+                found.append((k, other, sure))
         ids = table.column("doc_id")
-        return pa.table({"a": ids.take(pa.array(found_a, pa.int64())), "b": ids.take(pa.array(found_b, pa.int64()))})
+        a, b = (ids.take(pa.array([f[side] for f in found], pa.int64())) for side in (0, 1))
+        return pa.table({"a": a, "b": b, "sure": pa.array([f[2] for f in found], pa.bool_())})
 
     kind = reps.schema["doc_id"].dataType.simpleString()
-    found = members.groupBy("band", "low", "high").applyInArrow(meet, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = members.groupBy("band", "low", "high").applyInArrow(meet, f"a {kind}, b {kind}, sure boolean")
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -274,7 +351,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     text, or one without words, has an empty set and is linked with nothing. Equal texts are
     linked. A row without id takes no part: its component is null and it is kept. Rows that
     repeat an id are texts of one document, which is linked with all that any of them is
-    linked with; each gives a row. Empty input gives no rows.
+    linked with; each gives a row. Very long texts are taken whole. Empty input gives no rows.
     """
     rows = stage(_sketches(docs, settings), "sketches")
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
@@ -293,9 +370,28 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     stars = stars.select(F.col("leader.doc_id").alias("a"), F.col("doc.doc_id").alias("b")).distinct()
     first = _links(stage(_likely(stars, reps, settings), "pairs"), docs, settings)
 
-    shared = shared.select("band", "doc.doc_id", "key_a", "key_b", "doc.n")
-    more = stage(_across(shared, reps, components(first), settings), "pairs")
-    links = first if more.isEmpty() else first.union(_links(more, docs, settings))
+    members = shared.select(
+        "band", "doc.doc_id", "key_a", "key_b", "doc.n", F.col("doc.doc_id").alias("component"),
+        (F.col("doc.doc_id") == F.col("leader.doc_id")).alias("led"),
+    )
+    links, left = first, None
+    members = stage(_open(_relabelled(members, components(first))), "open")
+    count = members.count()
+    number = 0
+    while count and (left is None or count <= settings.shrink * left):
+        number += 1
+        marked, pairs = _led(members, links, settings, number)
+        likely = stage(_likely(pairs.select("a", "b").distinct(), reps, settings), "pairs")
+        new = _links(likely, docs, settings)
+        members = stage(_open(_merged(marked, new, pairs)), "open")
+        links = stage(links.union(new), "links-so-far")
+        left, count = count, members.count()
+    if count:
+        more = stage(_across(members, reps, docs, settings), "met")
+        unsure = more.where("NOT sure").select("a", "b")
+        links = links.union(more.where("sure").select("a", "b"))
+        if not unsure.isEmpty():
+            links = links.union(_links(unsure, docs, settings))
 
     members = full.join(classes, ["key_a", "key_b", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     groups = components(links.union(members.where("a <> b")))

@@ -132,3 +132,47 @@ def test_texts_of_one_id_without_the_band_stay_out_of_its_group(spark, block):
     out = neardup.near_duplicates(docs, neardup.Settings(block=block))
     assert found(out) == {(i, c, i == c) for i, c in brute(rows).items()}
     assert out.count() == len(rows)
+
+
+def one_centre(n, last, seed=8):
+    """A text of 100 words and copies with two words changed: near the centre, hardly near each other."""
+    draw = random.Random(seed)
+    centre = [f"w{draw.randrange(10**6)}" for _ in range(100)]
+    rows = [(n if last else 0, " ".join(centre))]
+    for k in range(n):
+        copy = list(centre)
+        for place in draw.sample(range(100), 2):
+            copy[place] = f"c{draw.randrange(10**6)}"
+        rows.append((k + (0 if last else 1), " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_pairs_grow_with_the_group(spark, monkeypatch, last):
+    """Wherever the centre's id stands, the pairs that are looked at grow in proportion to the copies."""
+    made, write = {}, neardup.stage
+
+    def counted(df, label="staged"):
+        out = write(df, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counted)
+    pairs = {}
+    for n in (150, 600):
+        made.clear()
+        docs = spark.createDataFrame(one_centre(n, last), "doc_id long, text string")
+        out = neardup.near_duplicates(docs)
+        assert {r["component_id"] for r in out.collect()} == {0}
+        pairs[n] = made["pairs"] + made.get("met", 0)
+    assert pairs[600] <= 5 * pairs[150], pairs
+
+
+def test_texts_that_share_a_passage_only_stay_apart(spark):
+    """Many unlinked texts in common bands: what meets is compared in full, and no pair is listed."""
+    draw = random.Random(2)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, passage + " " + " ".join(f"u{draw.randrange(10**6)}" for _ in range(22))) for k in range(120)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(0, 120, 10)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found(out) == {(i, c, i == c) for i, c in brute(rows).items()}
