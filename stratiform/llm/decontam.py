@@ -2,13 +2,15 @@
 
 The index is a BM25 inverted index with block-max WAND. A term's weight in an item is divided by
 the item's score for its own text, so one threshold (a share of that score) holds for all items.
-Passages are windows of two strides of words, a stride apart; items are indexed by length class
-and a class's stride is at least its longest item, so every occurrence of an item lies whole in
-a window. Traversal starts only for passages that hold enough of some item's rarer terms to
-reach the threshold even with all of its commoner ones.
-
-What is retrieved is verified word by word: three-word runs of the question and words of the
-answer have to stand in the passage. Items of few words have no such runs to choose from: they are
+An item is indexed by its anchor, the longer of question and answer, as other text may stand
+between the two. Passages are windows of two strides of words, a stride apart; anchors are indexed
+by length class and a class's stride is at least its longest, so every occurrence of an anchor lies
+whole in a window. Traversal starts only for passages that hold enough of some anchor's rarer terms
+to reach the threshold even with all of its commoner ones.
+
+What is retrieved is verified word by word around the passage, with a margin of several anchor
+lengths: three-word runs of the question have to stand there, and words of the answer close
+together, wherever in the margin. Items of few words have no such runs to choose from: they are
 looked up by hash and have to stand in a text as one whole run of words. Words are runs of letters
 and digits, A-Z lowered; in scripts without spaces every character is a word.
 """
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stratiform.llm import arrays
 
@@ -36,6 +39,7 @@ class Settings:
     common: float = 0.15  # share of an item's own score that its commonest terms may hold unseen
     question: float = 0.6  # least share of the question's three-word runs in the passage
     answer: float = 0.6  # least share of the answer's words in the passage
+    margin: int = 4  # strides before and after a passage in which the other half is looked for
     least_words: int = 8  # shorter items have to stand as one whole run of words
     k1: float = 1.2
     b: float = 0.75
@@ -45,10 +49,12 @@ class Settings:
 
 
 class Item(NamedTuple):
-    item_id: int | None
+    item_id: object
     words: np.ndarray
     question: np.ndarray  # sorted hashes of three-word runs
     answer: np.ndarray  # sorted hashes of words
+    answer_width: int  # words of the answer
+    anchor: np.ndarray  # what is retrieved: the longer half, or the text if both are short
     whole: list[np.ndarray]  # the text, and question and answer, as word sequences
 
 
@@ -67,30 +73,33 @@ def _runs(words: np.ndarray) -> np.ndarray:
     return np.unique(arrays.run_hashes(words, np.zeros(len(words), dtype=np.int64), 3)[0])
 
 
-def make_item(item_id: int | None, question: str, answer: str, text: str) -> Item:
+def make_item(item_id, question: str, answer: str, text: str, least_words: int = Settings.least_words) -> Item:
     """An item from its texts; a question of fewer than three words is replaced by the whole text."""
     words, asked, answered = _hashes(text), _hashes(question), _hashes(answer)
     whole = [words]
     if question != text and not np.array_equal(both := np.concatenate([asked, answered]), words) and len(both):
         whole.append(both)
-    return Item(item_id, words, _runs(asked if len(asked) >= 3 else words), np.unique(answered), whole)
+    longer = asked if len(asked) >= len(answered) else answered
+    anchor = longer if len(longer) >= least_words else words
+    runs = _runs(asked if len(asked) >= 3 else words)
+    return Item(item_id, words, runs, np.unique(answered), len(answered), anchor, whole)
 
 
 class Index:
-    """Postings of one length class of items."""
+    """Postings of the anchors of one length class."""
 
     def __init__(self, items: list[Item], stride: int, settings: Settings) -> None:
         self.items, self.stride, self.settings = items, stride, settings
         count = len(items)
-        mean = sum(len(item.words) for item in items) / count
-        each = [np.unique(item.words, return_counts=True) for item in items]
+        mean = sum(len(item.anchor) for item in items) / count
+        each = [np.unique(item.anchor, return_counts=True) for item in items]
         found = np.concatenate([terms for terms, _ in each])
         self.terms, term = np.unique(found, return_inverse=True)
         item = np.repeat(np.arange(count), [len(terms) for terms, _ in each])
         often = np.concatenate([counts for _, counts in each])
         spread = np.bincount(term)  # items of a term
         rarity = np.log1p((count - spread + 0.5) / (spread + 0.5))
-        length = np.array([len(x.words) for x in items])[item] / mean
+        length = np.array([len(x.anchor) for x in items])[item] / mean
         weight = rarity[term] * often * (settings.k1 + 1) / (often + settings.k1 * (1 - settings.b + settings.b * length))
         weight /= np.bincount(item, weights=weight)[item]
 
@@ -182,9 +191,13 @@ class Index:
             runs = None
             for item, score in self.search(terms, self.settings.threshold):
                 if runs is None:
-                    runs = _runs(words)
+                    margin = self.settings.margin * self.stride
+                    around = found.hash[max(low - margin, border[text]) : min(high + margin, border[text + 1])]
+                    runs = _runs(around)
                 question = _share(self.items[item].question, runs)
-                answer = _share(self.items[item].answer, words)
+                if question < self.settings.question:
+                    continue
+                answer = _close_share(self.items[item], around)
                 if question >= self.settings.question and answer >= self.settings.answer:
                     out[text, item] = max(out.get((text, item), (0.0, 0.0, 0.0)), (score, question, answer))
         return [(text, item, *values) for (text, item), values in out.items()]
@@ -219,6 +232,22 @@ def _share(wanted: np.ndarray, present: np.ndarray) -> float:
     return float(np.isin(wanted, present).mean()) if len(wanted) else 1.0
 
 
+def _close_share(item: Item, words: np.ndarray) -> float:
+    """The most of the answer's words that stand together, within about twice its length."""
+    wanted = item.answer
+    if not len(wanted):
+        return 1.0
+    place = np.minimum(np.searchsorted(wanted, words), len(wanted) - 1)
+    at = np.flatnonzero(wanted[place] == words)
+    width = 2 * item.answer_width + 4
+    stops = np.searchsorted(at, at + width)
+    best = seen = 0
+    for first, stop in enumerate(stops.tolist()):
+        if stop > seen:  # an end further on than those before; others hold no more
+            best, seen = max(best, len(np.unique(place[at[first:stop]]))), stop
+    return best / len(wanted)
+
+
 class Phrases:
     """Items of few words, by the hash of each one's whole word sequence."""
 
@@ -248,23 +277,23 @@ class Phrases:
 
 
 def build(items: list[Item], settings: Settings) -> list[Index | Phrases]:
-    """An index per length class, each of items of up to twice the length of the class before, and one of short items."""
+    """An index per length class, each of anchors of up to twice the length of the class before, and one of short items."""
     classes: dict[int, list[Item]] = {}
     short = []
     for item in items:
         if len(item.words) >= settings.least_words:
-            classes.setdefault((len(item.words) - 1).bit_length(), []).append(item)
+            classes.setdefault((len(item.anchor) - 1).bit_length(), []).append(item)
         elif len(item.words):
             short.append(item)
     indexes: list[Index | Phrases] = [Index(members, 1 << size, settings) for size, members in sorted(classes.items())]
     return indexes + [Phrases(short)] if short else indexes
 
 
-def _items(rows) -> list[Item]:
+def _items(rows, settings: Settings) -> list[Item]:
     items = []
     for row in rows:
-        question, answer = (row["question"] or "", row["answer"] or "") if "question" in row else split_item(row["text"] or "")
-        items.append(make_item(row["item_id"], question, answer, row["text"] or f"{question} {answer}"))
+        question, answer = (row["question"] or "", row["answer"] or "") if "question" in row else split_item(row["text"])
+        items.append(make_item(row["item_id"], question, answer, row["text"], settings.least_words))
     return items
 
 
@@ -272,8 +301,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     """doc_id, item_id, score, question_overlap, answer_overlap: one row per document and verified item.
 
     ``docs`` needs doc_id and text; ``benchmark`` item_id and text, or item_id, question and
-    answer as well. Other columns are ignored. Null or empty texts on either side match nothing,
-    nor do items without a word. Items of fewer than ``least_words`` words have to stand in a text as
+    answer as well. Other columns are ignored. An item's text that is null or empty is its question
+    and answer; null or empty texts match nothing otherwise, nor do items without a word. Very long
+    texts are taken whole. An empty table on either side gives no rows. Items of fewer than ``least_words`` words have to stand in a text as
     one run of words, the answer right after the question. Equal items are all found; rows that
     repeat a document give its best scores. Rows without doc_id are matched under a null id.
 
@@ -284,19 +314,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     wanted = [c for c in ("item_id", "text", "question", "answer") if c in benchmark.columns]
     if "answer" not in wanted:
         wanted = [c for c in wanted if c != "question"]
-    if "text" not in wanted:
-        benchmark = benchmark.withColumn("text", F.concat_ws(" ", "question", "answer"))
-        wanted.append("text")
+    if "answer" in wanted:
+        both = F.concat_ws(" ", "question", "answer")
+        text = F.when(F.length("text") > 0, F.col("text")).otherwise(both) if "text" in wanted else both
+        benchmark = benchmark.withColumn("text", text)
+        wanted = ["item_id", "text", "question", "answer"]
     benchmark = benchmark.select(*wanted).where(F.length("text") > 0)
     count, chars = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, -(-count // settings.shard_items), -(-chars // settings.shard_chars))
     kinds = [x.schema[name].dataType.simpleString() for x, name in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     found = []
     for part in range(parts):
         rows = benchmark.where(F.pmod(F.xxhash64(*wanted), F.lit(parts)) == part).toLocalIterator()
-        indexes = spark.sparkContext.broadcast(build(_items(row.asDict() for row in rows), settings))
-        found.append(docs.select("doc_id", "text").mapInArrow(arrays.mapper(_finder(indexes)), schema))
+        indexes = spark.sparkContext.broadcast(build(_items((row.asDict() for row in rows), settings), settings))
+        found.append(docs.select("doc_id", "text").mapInArrow(arrays.mapper(_finder(indexes, id_type)), schema))
     everything = found[0]
     for more in found[1:]:
         everything = everything.union(more)
@@ -304,7 +337,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     return everything.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def _finder(indexes):
+def _finder(indexes, id_type: pa.DataType):
     def run(batch: pa.RecordBatch):
         for first, _, part in arrays.slices(arrays.texts(batch.column(1))):
             found = arrays.unspaced_words(part)
@@ -316,7 +349,7 @@ def _finder(indexes):
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array([first + k for k in text])),
-                            pa.array([index.items[k].item_id for k in item], pa.int64()),
+                            pa.array([index.items[k].item_id for k in item], id_type),
                             *map(pa.array, (score, question, answer)),
                         ],
                         ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],

@@ -87,8 +87,8 @@ def test_awkward_tables(spark):
     text = "the quick brown fox jumps over the lazy dog near the river bank"
     items = item_frame(spark, [(1, text), (2, None), (3, ""), (4, "one two"), (1, text), (5, text.upper() + "."), (None, text)])
     out = decontam.contaminated(frame(spark), items)
-    assert found(out) == {(i, k) for i in (1, 7) for k in (1, 5, None)}
-    assert out.count() == 6
+    assert found(out) == {(i, k) for i in (1, 7) for k in (1, 5, None)} | {(8, 4)}
+    assert out.count() == 7
     assert decontam.contaminated(frame(spark, []), items).count() == 0
     assert decontam.contaminated(frame(spark), item_frame(spark, [])).count() == 0
     rows = [doc(1, text), doc(1, text), doc(None, text)]
@@ -154,3 +154,25 @@ def test_items_in_scripts_without_spaces(spark):
     ]
     out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
     assert found(out) == {(1, 1), (2, 2), (4, 3)}
+
+
+@pytest.mark.parametrize("gap", [0, 25, 60])
+def test_stretched_items_are_found_wherever_they_begin(spark, gap):
+    draw = random.Random(3)
+    question = " ".join(f"q{draw.randrange(10**6)}" for _ in range(27)) + "?"
+    answer = " ".join(f"a{draw.randrange(10**6)}" for _ in range(5)) + "."
+    between = " ".join(f"g{draw.randrange(10**6)}" for _ in range(gap))
+    docs = [(k, " ".join([*(f"x{k}y{j}" for j in range(200 + k)), question, between, answer, *(f"z{k}y{j}" for j in range(300))])) for k in range(40)]
+    docs += [(100 + k, text.replace(answer, "")) for k, text in docs[:5]] + [(200, f"{answer} {between}")]
+    items = item_frame(spark, [(1, f"{question} {answer}"), *((k, f"other{k} " * 9) for k in range(2, 9))])
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert found(out) == {(k, 1) for k in range(40)}
+
+
+def test_long_answers_to_short_questions_are_found_apart(spark):
+    answer = " ".join(f"a{k}" for k in range(40))
+    items = spark.createDataFrame([("x", "What comes then?", answer, None)], "item_id string, question string, answer string, text string")
+    filler = " ".join(f"f{k}" for k in range(50))
+    docs = [(1, f"{filler} what comes then {filler} {answer}"), (2, f"{filler} {answer}"), (3, f"what comes then {filler}")]
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert found(out) == {(1, "x")}
