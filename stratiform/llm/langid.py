@@ -162,7 +162,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from ``text`` alone.
 
     A text that is null or has no letter gets ``und`` and 0, as does every text if nothing was
-    learned. Repeated rows get equal results; input columns of these names are replaced.
+    learned. The profile of a very long text is of the whole of it; an empty table gives no rows.
+    Repeated rows get equal results; input columns of these names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])

@@ -24,6 +24,8 @@ from stratiform.llm import files
 from stratiform.session import new_path, stage
 
 EXACT = float(1 << 53)
+GROUP = 32  # blocks of queries that use a shard's postings one after another
+MOST_TASKS = 100_000
 
 
 @dataclass(frozen=True)
@@ -176,8 +178,10 @@ def top_k(vectors: DataFrame, is_query, settings: Settings = Settings()) -> Data
     # A work item is two file names; items of a shard lie together, so its postings are built once.
     numbers = F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")
     work = queries.withColumn("shard", F.explode(numbers)).join(candidates, "shard")
-    work = work.withColumn("part", F.floor(F.col("block") / 32))
-    work = work.repartition("shard", "part").sortWithinPartitions("shard", "block")
+    work = work.withColumn("part", F.floor(F.col("block") / GROUP))
+    # A number of partitions, or few bytes of names become few tasks.
+    groups = shards * -(-blocks // GROUP)
+    work = work.repartition(min(groups, MOST_TASKS), "shard", "part").sortWithinPartitions("shard", "block")
 
     def run(batches):
         held: tuple = (None, None)

@@ -21,6 +21,10 @@ from stratiform.session import broadcast_within, stage
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+MOST_TASKS = 1000
+PLAN_LIMIT_BYTES = 32 * 1024 * 1024  # counts per length take several times their bytes as a hash table
+
+
 @dataclass(frozen=True)
 class Settings:
     weights: Sequence[float] = (1.0, 2.0, 3.0)  # dealt to the sources in turn
@@ -124,7 +128,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, repeats: in
     return taken + _fill(lengths, room - taken, min(left, table))
 
 
-def _plan(sizes: DataFrame, budgets: DataFrame, settings: Settings) -> DataFrame:
+def _plan(sizes: DataFrame, budgets: DataFrame, sources: int, settings: Settings) -> DataFrame:
     """source_key, size, count, and how many copies documents of this size get in all.
 
     A group is the length counts of one source: as many rows as it has different lengths.
@@ -139,7 +143,9 @@ def _plan(sizes: DataFrame, budgets: DataFrame, settings: Settings) -> DataFrame
         taken[filled] = fit_counts(lengths[filled], counts[filled], budget, settings.repeats, settings.table)
         return pa.table({"source_key": table.column("source_key"), "size": lengths, "n": counts, "given": taken})
 
-    return sizes.join(budgets, "source_key").groupBy("source_key").applyInArrow(
+    # A number of partitions, or the few bytes of all sources become one task.
+    dealt = sizes.join(budgets, "source_key").repartition(min(max(1, sources), MOST_TASKS), "source_key")
+    return dealt.groupBy("source_key").applyInArrow(
         fit, "source_key string, size long, n long, given long"
     )
 
@@ -153,7 +159,7 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies, draw for every row of ``docs``.
 
     ``docs`` needs doc_id, text and source; other columns are ignored. A null text has size 0,
-    and rows of size 0 take nothing. Sources are ranked by code point, null last, and weigh by
+    and rows of size 0 take nothing; very long texts are counted whole, and an empty table gives no rows. Sources are ranked by code point, null last, and weigh by
     rank. The driver holds one row per source. Equal rows are taken independently, in an order
     that ends with the text's hash, so reruns agree. Without words every target is 0.
     """
@@ -174,7 +180,7 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         plans.append((row["source_key"], row["source_size"], target, round(target)))
     spark = docs.sparkSession
     budgets = spark.createDataFrame(plans, "source_key string, source_size long, target double, budget long")
-    plan = _plan(counted, budgets.select("source_key", "budget"), settings)
+    plan = _plan(counted, budgets.select("source_key", "budget"), len(plans), settings)
     each = F.floor(F.col("given") / F.col("n")).cast("long")  # copies that every document of a size gets
     plan = stage(plan.select("source_key", "size", "n", each.alias("each"), (F.col("given") - each * F.col("n")).alias("more")), "plan")
 
@@ -182,8 +188,8 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # before the border slot are taken whole, and only rows of the border slot are ordered.
     slots = F.ceil(F.sqrt("n")).cast("long")
     slotted = (
-        rows.join(broadcast_within(plan), ["source_key", "size"])
-        .join(F.broadcast(budgets.drop("budget")), "source_key")
+        rows.join(broadcast_within(plan, PLAN_LIMIT_BYTES), ["source_key", "size"])
+        .join(broadcast_within(budgets.drop("budget"), PLAN_LIMIT_BYTES), "source_key")
         .withColumn("slot", F.pmod(F.shiftrightunsigned("draw", 1), slots))
     )
     partial = slotted.where("more > 0")
@@ -191,7 +197,7 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     running = Window.partitionBy("source_key", "size").orderBy("slot")
     by_slot = by_slot.withColumn("rest", F.col("more") - (F.sum("here").over(running) - F.col("here")))
     by_slot = stage(by_slot.drop("more"), "slots")
-    slotted = slotted.join(broadcast_within(by_slot), ["source_key", "size", "slot"], "left")
+    slotted = slotted.join(broadcast_within(by_slot, PLAN_LIMIT_BYTES), ["source_key", "size", "slot"], "left")
     in_border = F.coalesce(F.col("rest").between(1, F.col("here") - 1), F.lit(False))
     decided = slotted.where(~in_border).withColumn("extra", (F.coalesce("rest", F.lit(0)) > 0).cast("int"))
     order = Window.partitionBy("source_key", "size", "slot").orderBy("draw", "doc_id")

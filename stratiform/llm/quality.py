@@ -31,6 +31,7 @@ class Settings:
     buckets: int = 1 << 17
     dim: int = 8
     epochs: int = 6
+    least_steps: int = 260  # more epochs if so few rows are learned from that these make fewer steps
     batch: int = 32
     rate: float = 1.0
     longest_row: float = 2.0  # most length of a row of the layer
@@ -38,6 +39,13 @@ class Settings:
     threshold: float = 0.3
 
 
+class Trained(NamedTuple):
+    vectors: np.ndarray  # a row per bucket
+    layer: np.ndarray  # a row per class
+    offset: np.ndarray
+    bits: int
+
+
 class Model(NamedTuple):
     weights: np.ndarray  # logit difference per bucket
     bias: float
@@ -89,7 +97,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
+def gathered(trained: Trained) -> Model:
+    """One number per bucket: the difference that its vector makes between the classes' logits."""
+    gap = trained.layer[1] - trained.layer[0]
+    return Model((trained.vectors @ gap).astype(np.float32), float(trained.offset[1] - trained.offset[0]), trained.bits)
+
+
 def train(texts: list[tuple[bytes, int]], settings: Settings) -> Model:
+    return gathered(learn(texts, settings))
+
+
+def learn(texts: list[tuple[bytes, int]], settings: Settings) -> Trained:
     """Stochastic gradient descent over small batches of texts; sparse rows of the vectors are updated.
 
     A text's step is divided by the squared length of its features' shares, so it moves the
@@ -110,13 +128,15 @@ def train(texts: list[tuple[bytes, int]], settings: Settings) -> Model:
             rows.append((distinct, (counts / counts.sum()).astype(np.float32), label))
     positive = sum(label for _, _, label in rows)
     prior = float(np.log((positive + 0.5) / (len(rows) - positive + 0.5)))
+    offset = np.array([-prior / 2, prior / 2], dtype=np.float32)
     if not positive or positive == len(rows):
-        return Model(np.zeros(settings.buckets, np.float32), prior, bits)
+        return Trained(np.zeros((settings.buckets, 1), np.float32), np.zeros((2, 1), np.float32), offset, bits)
     vectors = random.uniform(-1.0, 1.0, (settings.buckets, settings.dim)).astype(np.float32) / settings.dim
     layer = random.normal(0.0, 0.5, (2, settings.dim)).astype(np.float32)
-    offset = np.array([-prior / 2, prior / 2], dtype=np.float32)
-    done, steps = 0, settings.epochs * -(-len(rows) // settings.batch)
-    for _ in range(settings.epochs):
+    per_epoch = -(-len(rows) // settings.batch)
+    epochs = max(settings.epochs, -(-settings.least_steps // per_epoch))
+    done, steps = 0, epochs * per_epoch
+    for _ in range(epochs):
         order = random.permutation(len(rows))
         for low in range(0, len(rows), settings.batch):
             chosen = [rows[k] for k in order[low : low + settings.batch]]
@@ -144,7 +164,7 @@ def train(texts: list[tuple[bytes, int]], settings: Settings) -> Model:
             offset -= 0.1 * rate * share.mean(axis=0)
     if not (np.isfinite(vectors).all() and np.isfinite(layer).all()):
         raise ArithmeticError("training did not converge")
-    return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(offset[1] - offset[0]), bits)
+    return Trained(vectors, layer, offset, bits)
 
 
 def score_texts(batch: arrays.Texts, model: Model) -> np.ndarray:
@@ -169,7 +189,8 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
     """``docs`` with ``score`` (0 to 1) and ``predicted``; only ``text`` is read for them.
 
     A null text is an empty one; an empty text gets the score of a text without features
-    (the share of good texts among those learned from). Repeated rows get equal scores, and
+    (the share of good texts among those learned from). Very long texts are scored whole, in
+    pieces of bounded size; an empty table gives no rows. Repeated rows get equal scores, and
     columns of the input named ``score`` or ``predicted`` are replaced.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]

@@ -208,7 +208,8 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
     """``docs`` with ``score`` (0 to 1) and ``predicted``, from ``text`` alone.
 
     A null text is an empty one; a text without terms of the model gets the score of the bias.
-    Repeated rows get equal scores; input columns of these names are replaced.
+    Very long texts are scored whole; an empty table gives no rows. Repeated rows get equal scores;
+    input columns of these names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])

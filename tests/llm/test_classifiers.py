@@ -57,6 +57,79 @@ def test_averaged_vectors_give_the_gathered_score():
     assert np.allclose(scores, one)
 
 
+def documents(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    return {r["doc_id"]: r["text"] or "" for r in rows}
+
+
+def test_quality_query_against_averaged_vectors_and_softmax(spark):
+    """What the query gives, from the vectors and the layer, text by text."""
+    texts = documents(spark)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
+    taught = sorted(i for i in labels if labels[i] is not None and i in texts and zlib.crc32(str(i).encode()) % 5)
+    trained = quality.learn([(texts[i].encode(), labels[i]) for i in taught], quality.Settings())
+    for row in queries.op1_quality_classifier(spark, SF_DIR).collect():
+        raw = np.frombuffer(texts[row["doc_id"]].encode(), dtype=np.uint8)
+        bucket, _ = quality.features(arrays.Texts(raw, np.array([0, len(raw)])), trained.bits)
+        mean = trained.vectors[bucket].astype(float).mean(axis=0) if len(bucket) else np.zeros(trained.vectors.shape[1])
+        logits = trained.layer.astype(float) @ mean + trained.offset
+        share = np.exp(logits - logits.max())
+        assert row["score"] == pytest.approx(share[1] / share.sum(), abs=1e-4)
+
+
+def test_language_query_against_plain_profiles(spark):
+    """What the query gives, by counting in dictionaries and adding up how far each rank is out of place."""
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    settings = langid.Settings()
+
+    def top(counts):
+        return sorted(counts, key=lambda g: (-counts[g], g))[: settings.size]
+
+    def grams(text):
+        return langid.grams(langid.letters(text or ""), settings.longest).tolist()
+
+    counts = {}
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            own = counts.setdefault(r["lang"], {})
+            for gram in grams(r["text"]):
+                own[gram] = own.get(gram, 0) + 1
+    profiles = {lang: {g: k for k, g in enumerate(top(own))} for lang, own in counts.items()}
+    found = {r["doc_id"]: r for r in queries.op2_language_id(spark, SF_DIR).collect()}
+    for r in rows:
+        own = {}
+        for gram in grams(r["text"]):
+            own[gram] = own.get(gram, 0) + 1
+        if not own:
+            assert (found[r["doc_id"]]["lang_pred"], found[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        order = top(own)
+        far = {
+            lang: sum(abs(ranks[g] - k) if g in ranks else settings.size for k, g in enumerate(order)) for lang, ranks in profiles.items()
+        }
+        best = min(sorted(far), key=far.get)
+        assert found[r["doc_id"]]["lang_pred"] == best
+        assert found[r["doc_id"]]["score"] == pytest.approx(1 - far[best] / (settings.size * len(order)))
+
+
+def test_toxicity_query_against_all_pairs(spark):
+    """What the query gives, as a sum over single terms and over all pairs of the fitted model."""
+    folder = SF_DIR.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels, ~held_out("doc_id", 4, 2))
+    assert len(model.terms) > 20
+    place = {int(term): k for k, term in enumerate(model.terms)}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for row in queries.op3_toxicity(spark, folder).limit(300).collect():
+        raw = np.frombuffer(texts[row["doc_id"]].encode(), dtype=np.uint8)
+        hashes, _ = toxicity.text_terms(arrays.Texts(raw, np.array([0, len(raw)])))
+        own = sorted({place[h] for h in hashes.tolist() if h in place})
+        value = model.bias + sum(float(model.weights[k]) for k in own)
+        value += sum(float(model.factors[a] @ model.factors[b]) for a in own for b in own if a < b)
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(value, -30, 30))), abs=1e-4)
+
+
 @pytest.mark.filterwarnings("error")
 def test_copies_and_texts_of_few_features_do_not_upset_training():
     draw = np.random.default_rng(3)
