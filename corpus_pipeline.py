@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratiform.llm import decontam, mixing, neardup, quality, wavelet
 from stratiform.llm.queries import tokenizer_path
-from stratiform.session import broadcast_within, new_path, stage
+from stratiform.session import broadcast_within, new_path, scratch, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,6 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage_of in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage_of(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what a stage writes on its way goes when its result is written
+            stage_of(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
