@@ -31,6 +31,7 @@ from stratiform.session import new_path, stage
 
 END = np.uint64(0x656E6421)  # hashes are mixed, so these two are as unlikely as any other
 BEGIN_ID = np.uint64(0xFFFFFFFF)
+LARGE = (1 << 32) - 1  # counts from here on are kept apart, in 64 bits
 
 
 @dataclass(frozen=True)
@@ -206,21 +207,64 @@ def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _narrow(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in 32 bits, the greatest standing for all that do not fit, and the places of those."""
+    return np.minimum(counts, LARGE).astype(np.uint32), np.flatnonzero(counts >= LARGE)
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted pairs by context: contexts, run lengths, tokens, counts, compressed."""
+    """Sorted pairs by context: contexts, run lengths, tokens, counts, places and counts of large ones, compressed."""
     context = (keys >> np.uint64(32)).astype(np.uint32)
     first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
     runs = np.diff(np.append(first, len(keys))).astype(np.uint32)
-    body = [np.array([len(first)], np.uint32), context[first], runs, keys.astype(np.uint32), counts.astype(np.uint32)]
+    small, large = _narrow(counts)
+    head = np.array([len(first), len(keys), len(large)], np.uint32)
+    body = [head, context[first], runs, keys.astype(np.uint32), small, large.astype(np.uint32), counts[large].astype(np.uint64)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in body))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     numbers = np.frombuffer(zstandard.decompress(data), dtype=np.uint32)
-    contexts = int(numbers[0])
-    context, runs = numbers[1 : 1 + contexts], numbers[1 + contexts : 1 + 2 * contexts]
-    token, counts = np.split(numbers[1 + 2 * contexts :], 2)
-    return (np.repeat(context, runs).astype(np.uint64) << np.uint64(32)) | token, counts.astype(np.int64)
+    contexts, pairs, large = (int(x) for x in numbers[:3])
+    context, runs, token, counts, places, high = np.split(numbers[3:], np.cumsum([contexts, contexts, pairs, pairs, large]))
+    counts = counts.astype(np.int64)
+    counts[places] = np.frombuffer(high.tobytes(), dtype=np.uint64).astype(np.int64)
+    return (np.repeat(context, runs).astype(np.uint64) << np.uint64(32)) | token, counts
+
+
+def _shard_file(keys: np.ndarray, counts: np.ndarray, own: np.ndarray, followers: np.ndarray) -> list[bytes]:
+    """Sorted pairs, large pairs with their counts, counts in 32 bits, contexts of the shard alone with their followers."""
+    small, large = _narrow(counts)
+    return [
+        np.array([len(keys), len(large), len(own)], np.uint64).tobytes(), keys.tobytes(), keys[large].tobytes(),
+        counts[large].astype(np.uint64).tobytes(), small.tobytes(), own.tobytes(), np.ascontiguousarray(followers).tobytes(),
+    ]
+
+
+class Shard(NamedTuple):
+    pairs: np.ndarray
+    large: np.ndarray
+    large_counts: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    followers: np.ndarray
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of some pairs."""
+        place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        found = np.where(self.pairs[place] == keys, self.counts[place], 0).astype(np.int64)
+        many = np.flatnonzero(found == LARGE)
+        found[many] = self.large_counts[np.searchsorted(self.large, keys[many])].astype(np.int64)
+        return found
+
+
+def _open_shard(raw: np.ndarray) -> Shard:
+    pairs, large, contexts = (int(x) for x in raw[:24].view(np.uint64))
+    borders = np.cumsum([24, 8 * pairs, 8 * large, 8 * large, 4 * pairs, 4 * contexts, 12 * contexts])
+    parts = [raw[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
+    kinds = [np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32]
+    views = [part.view(kind) for part, kind in zip(parts, kinds, strict=True)]
+    return Shard(*views[:5], views[5].reshape(-1, 3))
 
 
 def _count_pairs(docs: DataFrame, vocabulary, hot, shards: int, settings: Settings) -> DataFrame:
@@ -272,13 +316,7 @@ def _write_shards(counted: DataFrame, hot, folder: str, words: int, ranges: int,
         followers = np.column_stack([followers, total - followers.sum(axis=1)]).astype(np.uint32)
         is_hot = _in(context[first].astype(np.uint64), hot.value)
         own = context[first][~is_hot]
-        name = files.write_file(
-            folder, f"pairs-{shard:06d}",
-            [
-                np.array([len(keys), len(own)], np.uint64).tobytes(), keys.tobytes(), counts.astype(np.uint32).tobytes(),
-                own.tobytes(), np.ascontiguousarray(followers[~is_hot]).tobytes(),
-            ],
-        )
+        name = files.write_file(folder, f"pairs-{shard:06d}", _shard_file(keys, counts, own, followers[~is_hot]))
         token, contexts = np.unique(keys.astype(np.uint32), return_counts=True)
         border = np.searchsorted(token, np.minimum(np.arange(ranges + 1) * range_words, 1 << 32))
         blobs = [
@@ -371,14 +409,7 @@ class Scorer:
         self.m, self.words = model, Words(model.vocabulary)
         folder = model.vocabulary.folder
         self.ranges = [files.mapped(folder, name, np.uint32) if name else None for name in model.ranges]
-        self.shards = [self._open(files.mapped(folder, name, np.uint8)) if name else None for name in model.shards]
-
-    @staticmethod
-    def _open(raw: np.ndarray) -> tuple[np.ndarray, ...]:
-        pairs, contexts = (int(x) for x in raw[:16].view(np.uint64))
-        borders = np.cumsum([16, 8 * pairs, 4 * pairs, 4 * contexts, 12 * contexts])
-        parts = [raw[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
-        return parts[0].view(np.uint64), parts[1].view(np.uint32), parts[2].view(np.uint32), parts[3].view(np.uint32).reshape(-1, 3)
+        self.shards = [_open_shard(files.mapped(folder, name, np.uint8)) if name else None for name in model.shards]
 
     def _word_share(self, numbers: np.ndarray) -> np.ndarray:
         """p(w) of distinct words."""
@@ -406,9 +437,8 @@ class Scorer:
             if self.shards[k] is None:
                 continue
             at = order[border[k] : border[k + 1]]
-            pairs, seen, contexts, followers = self.shards[k]
-            place = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
-            counts[at] = np.where(pairs[place] == keys[at], seen[place], 0)
+            contexts, followers = self.shards[k].contexts, self.shards[k].followers
+            counts[at] = self.shards[k].find(keys[at])
             if len(contexts):
                 wanted = context[at].astype(np.uint32)
                 place = np.minimum(np.searchsorted(contexts, wanted), len(contexts) - 1)
@@ -449,7 +479,8 @@ class Scorer:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score, score; only ``text`` is read for them.
 
-    A null or empty text is its end token. A model of no texts gives every token the same share.
+    A null or empty text is its end token; a very long one is scored whole. An empty table gives no
+    rows. A model of no texts gives every token the same share.
     Repeated rows get equal scores; input columns of these names are replaced.
     """
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -122,3 +122,17 @@ def test_tokens_end_every_text():
 def test_repeated_rows_count_as_often_as_they_stand(spark):
     model = ngram_lm.fit(frame(spark, [doc(1, "a b"), doc(1, "a b")]))
     assert (model.tokens, model.texts, model.words, model.pairs) == (6, 2, 3, 3)
+
+
+def test_counts_beyond_32_bits():
+    keys = np.array([1 << 32 | 5, 1 << 32 | 9, 2 << 32 | 5, 7 << 32 | 1], dtype=np.uint64)
+    counts = np.array([3, (1 << 32) + 7, (1 << 32) - 1, 1 << 40])
+    for back, want in zip(ngram_lm._unpack(ngram_lm._pack(keys, counts)), (keys, counts), strict=True):
+        assert (back == want).all()
+    own = np.array([1, 2, 7], dtype=np.uint32)
+    followers = np.arange(9, dtype=np.uint32).reshape(3, 3)
+    raw = np.frombuffer(b"".join(ngram_lm._shard_file(keys, counts, own, followers)), dtype=np.uint8)
+    shard = ngram_lm._open_shard(raw)
+    wanted = np.append(keys, np.uint64(3 << 32))
+    assert shard.find(wanted).tolist() == [*counts.tolist(), 0]
+    assert (shard.contexts == own).all() and (shard.followers == followers).all()
