@@ -21,6 +21,8 @@ SETTINGS = {
     # A hot join key is split by AQE even where that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Methods longer than this are not compiled by the JVM: wide rows are faster without whole-stage code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 _CONFIGURED = "stratiform.configured"
