@@ -14,6 +14,7 @@ from stratiform.operators.ordered import as_of, valid_at, validity
 from stratiform.plans import dimensions, weather
 from stratiform.plans.fixed import DIMENSIONS
 from stratiform.plans.ingest import ingest_files, write_parsed
+from stratiform.plans.lookup import ValueIndex
 from stratiform.plans.means import Means
 from stratiform.plans.tiers import Tiers
 from stratiform.registry.inputs import (
@@ -166,6 +167,19 @@ def incremental_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.means("kind", "amount").withColumn("amount", F.round("amount", 6))
 
 
+def serving_value_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose newest source is web3, by an index that follows three runs which correct each other."""
+    tiers = Tiers(spark, new_path(spark, "tiers"), buckets=8, fan=3)
+    index = ValueIndex(tiers, new_path(spark, "index"), [("event", "source")], file_rows=2000)
+    wide = events_wide(spark, sf_dir).withColumn("version_ts", F.col("version_ts").cast("timestamp"))
+    part = F.pmod(F.xxhash64("row_key", "version_ts", "k"), F.lit(3))
+    for run in range(3):
+        tiers.add(puts.wide_to_puts(wide.where(part == run), EVENT_FAMILIES))
+        index.update()
+        tiers.merge()
+    return index.find(EVENT_FAMILIES, ("event", "source"), "web3")
+
+
 def _carrier_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each supplier looked like in every month that it shipped in."""
     month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("delivered")
@@ -205,6 +219,7 @@ QUERIES = {
     "weather_job": weather_job,
     "serving_tiered_scan": serving_tiered_scan,
     "incremental_mean": incremental_mean,
+    "serving_value_lookup": serving_value_lookup,
     "dimension_history": dimension_history,
     "dimension_valid_at": dimension_valid_at,
     "nearest_station_day": nearest_station_day,
@@ -257,6 +272,7 @@ ORACLE = {
         SELECT coalesce(kind, '0') AS kind, round(avg(coalesce(TRY_CAST(amount AS DOUBLE), 0)), 6) AS amount
         FROM wide GROUP BY 1
     """,
+    "serving_value_lookup": f"{WIDE_VIEW_SQL} SELECT * FROM wide WHERE source = 'web3'",
     "dimension_history": f"{_VERSIONS_SQL} SELECT * FROM versions",
     "dimension_valid_at": f"""
         {_VERSIONS_SQL}
