@@ -14,17 +14,26 @@ from stratiform.registry.inputs import (
     EVENT_FAMILIES,
     EVENT_RECORD,
     EVENT_TYPES,
+    STATION_DAYS_SQL,
+    TRIPS_SQL,
     WIDE_VIEW_SQL,
     event_json,
     events_wide,
+    nation_code,
+    station_days,
     table,
+    trips,
 )
-from stratiform.session import new_path
+from stratiform.session import new_path, stage
 from stratiform.streaming import (
+    Range,
+    enrich,
     envelope_stream,
     ingest_records,
     keep_first,
     keep_newest,
+    late_rows,
+    read_enriched,
     read_first,
     read_newest,
     upsert_cells,
@@ -75,11 +84,39 @@ def stream_upsert_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.scan(spark, path, EVENT_FAMILIES)
 
 
+def _stream_in_order(spark: SparkSession, df: DataFrame, time: str, label: str, parts: int) -> DataFrame:
+    """The rows of ``df`` as a stream of ``parts`` batches, each later than the one before; rows without a time come first."""
+    path, df = new_path(spark, label), stage(df, label)
+    seconds = F.unix_seconds(F.col(time).cast("timestamp"))
+    cuts = df.select(seconds.alias("s")).approxQuantile("s", [k / parts for k in range(1, parts)], 0.01)
+    part = sum((F.when(seconds >= F.lit(cut), 1).otherwise(0) for cut in cuts), F.lit(0))
+    for k in range(parts):
+        df.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_enrich_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips with what their arrival's station saw in the 36 hours before; every third day is missing."""
+    flown = trips(spark, sf_dir).select("trip_id", "snapshot", "arrival_code", "arrival_scheduled")
+    day = F.make_timestamp_ntz("year", "month", "day", F.lit(0), F.lit(0), F.lit(0)).alias("observed")
+    days = station_days(spark, sf_dir).where(F.col("day") % 3 != 0).select(nation_code("station_code").alias("arrival_code"), day, "rain")
+    match = Range(["arrival_code"], "arrival_scheduled", "observed", dt.timedelta(hours=36))
+    path = new_path(spark, "enriched-trips")
+    left = _stream_in_order(spark, flown, "arrival_scheduled", "flown", 4)
+    right = _stream_in_order(spark, days, "observed", "observed", 3)
+    query = enrich(left, right, match, dt.timedelta(days=1), path, f"{path}-state")
+    query.awaitTermination()
+    if late_rows(query):
+        raise ValueError(f"{late_rows(query)} rows were late")
+    return read_enriched(spark, path, f"{path}-state", match)
+
+
 QUERIES = {
     "stream_ingest_parity": stream_ingest_parity,
     "stream_dedup_parity": stream_dedup_parity,
     "stream_newest_parity": stream_newest_parity,
     "stream_upsert_parity": stream_upsert_parity,
+    "stream_enrich_parity": stream_enrich_parity,
 }
 
 ORACLE = {
@@ -89,4 +126,13 @@ ORACLE = {
         SELECT event_id, ts, user_id, event_type, value - 3 AS value, props, CAST(3 AS INTEGER) AS poll FROM events
     """,
     "stream_upsert_parity": f"{WIDE_VIEW_SQL} SELECT * FROM wide",
+    "stream_enrich_parity": f"""
+        WITH days AS (
+            SELECT 'N' || lpad(CAST(station_code AS VARCHAR), 2, '0') AS code, make_timestamp(year, month, day, 0, 0, 0) AS observed, rain
+            FROM ({STATION_DAYS_SQL}) WHERE day % 3 <> 0
+        )
+        SELECT trip_id, snapshot, arrival_code, arrival_scheduled, observed, rain
+        FROM ({TRIPS_SQL}) t LEFT JOIN days d
+        ON t.arrival_code = d.code AND observed <= arrival_scheduled AND arrival_scheduled < observed + INTERVAL 36 HOUR
+    """,
 }
