@@ -25,6 +25,7 @@ from stratiform.registry.inputs import (
     trips,
 )
 from stratiform.session import new_path, stage
+from stratiform.sources.envelope import list_files
 from stratiform.streaming import (
     Range,
     enrich,
@@ -84,15 +85,38 @@ def stream_upsert_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.scan(spark, path, EVENT_FAMILIES)
 
 
-def _stream_in_order(spark: SparkSession, df: DataFrame, time: str, label: str, parts: int) -> DataFrame:
-    """The rows of ``df`` as a stream of ``parts`` batches, each later than the one before; rows without a time come first."""
+FILE_ROWS = 250_000
+BATCH_ROWS = 6_000_000
+
+
+def _stream_in_order(
+    spark: SparkSession,
+    df: DataFrame,
+    time: str,
+    label: str,
+    parts: int,
+    file_rows: int = FILE_ROWS,
+    batch_rows: int = BATCH_ROWS,
+) -> DataFrame:
+    """The rows of ``df`` as a stream of ``parts`` batches, each later than the one before; rows without a time come first.
+
+    There are more batches if they would have more than ``batch_rows`` rows, as a batch waits in state as a whole.
+    Every batch has the same number of files, as many as its rows need; files without rows fill up short ones.
+    """
     path, df = new_path(spark, label), stage(df, label)
+    count = df.count()
+    parts = max(parts, -(-count // batch_rows))
     seconds = F.unix_seconds(F.col(time).cast("timestamp"))
-    cuts = df.select(seconds.alias("s")).approxQuantile("s", [k / parts for k in range(1, parts)], 0.01)
+    cuts = df.select(seconds.alias("s")).approxQuantile("s", [k / parts for k in range(1, parts)], min(0.01, 0.1 / parts))
     part = sum((F.when(seconds >= F.lit(cut), 1).otherwise(0) for cut in cuts), F.lit(0))
+    files = max(1, -(-count // (parts * file_rows)))
+    nothing = spark.createDataFrame([], df.schema).coalesce(1)
     for k in range(parts):
-        df.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows = df.where(part == k)
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(path)
+        for _ in range((k + 1) * files - list_files(spark, f"{path}/*.parquet").count()):
+            nothing.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def stream_enrich_parity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from stratiform.registry.streams import _stream_in_order
+from stratiform.session import new_path
 from stratiform.streaming import Range, enrich, enriched, late_rows, read_enriched
 
 START = dt.datetime(2024, 1, 1)
@@ -106,3 +108,26 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "A", at(1))], LEFT)
     assert enriched(left, right, MATCH, dt.timedelta(hours=1)).count() == 0
     assert [tuple(r) for r in enriched(some, right, MATCH, dt.timedelta(hours=1)).select("id", F.col("rain")).collect()] == [(1, None)]
+
+
+def test_batches_in_order_are_as_many_as_rows_need(spark):
+    """More batches and files for more rows; times that most rows have leave parts without rows."""
+    at = "timestamp_seconds(CASE WHEN id < 600 THEN 1000 ELSE id END)"
+    df = spark.sql(f"SELECT id, CASE WHEN id % 100 > 0 THEN {at} END AS at FROM range(2000)")
+    stream = _stream_in_order(spark, df, "at", "in-order", 2, file_rows=50, batch_rows=200)
+    files, batches = [], []
+
+    def note(batch, _):
+        found = batch.withColumn("file", F.input_file_name()).cache()
+        files.append({row.file for row in found.select("file").distinct().collect()})
+        batches.append([(row.id, row.at) for row in found.collect()])
+
+    state = new_path(spark, "in-order-state")
+    query = stream.writeStream.foreachBatch(note).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.exception() is None
+    assert sorted(id for batch in batches for id, _ in batch) == list(range(2000))
+    assert len(batches) == 10 and max(map(len, files)) == 4
+    times = [[at for _, at in batch if at is not None] for batch in batches]
+    times = [batch for batch in times if batch]
+    assert all(max(one) <= min(next_one) for one, next_one in zip(times, times[1:], strict=False))
