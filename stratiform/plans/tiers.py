@@ -28,9 +28,15 @@ from stratiform.snapshots import Snapshots
 
 BUCKETS = 64
 FAN = 4
+BUCKET_ROWS = 200_000
 _RUN = re.compile(r"level=(\d+)/run=([^/]+)$")
 
 
+def buckets_for(rows: int, least: int = BUCKETS) -> int:
+    """Buckets of a table that is to hold so many rows: a bucket is sorted by one task, so their number follows the rows."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 class Tiers:
     """A tiered cells table; ``buckets`` belongs to the table and must not change."""
 

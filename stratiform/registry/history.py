@@ -16,7 +16,7 @@ from stratiform.plans.fixed import DIMENSIONS
 from stratiform.plans.ingest import ingest_files, write_parsed
 from stratiform.plans.lookup import ValueIndex
 from stratiform.plans.means import Means
-from stratiform.plans.tiers import Tiers
+from stratiform.plans.tiers import Tiers, buckets_for
 from stratiform.registry.inputs import (
     EVENT_FAMILIES,
     EVENT_RECORD,
@@ -143,9 +143,13 @@ def weather_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weather.newest(read_committed(spark, silver)).select(*columns)
 
 
+def _tiers(spark: SparkSession, sf_dir: str) -> Tiers:
+    return Tiers(spark, new_path(spark, "tiers"), buckets=buckets_for(table(spark, sf_dir, "events").count(), 8), fan=3)
+
+
 def serving_tiered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events published in seven runs that are merged by level on the way, read without an exchange."""
-    tiers = Tiers(spark, new_path(spark, "tiers"), buckets=8, fan=3)
+    tiers = _tiers(spark, sf_dir)
     wide = events_wide(spark, sf_dir).withColumn("version_ts", F.col("version_ts").cast("timestamp"))
     part = F.pmod(F.xxhash64("row_key", "version_ts", "k"), F.lit(7))
     for run in range(7):
@@ -156,7 +160,7 @@ def serving_tiered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean amount by kind, brought up to date after each of four runs that correct each other's rows."""
-    tiers = Tiers(spark, new_path(spark, "tiers"), buckets=8, fan=3)
+    tiers = _tiers(spark, sf_dir)
     means = Means(tiers, new_path(spark, "means"), ("event", "kind"), ("measure", "amount"))
     wide = events_wide(spark, sf_dir).withColumn("version_ts", F.col("version_ts").cast("timestamp"))
     part = F.pmod(F.xxhash64("row_key", "version_ts", "k"), F.lit(4))
@@ -169,7 +173,7 @@ def incremental_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def serving_value_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose newest source is web3, by an index that follows three runs which correct each other."""
-    tiers = Tiers(spark, new_path(spark, "tiers"), buckets=8, fan=3)
+    tiers = _tiers(spark, sf_dir)
     index = ValueIndex(tiers, new_path(spark, "index"), [("event", "source")], file_rows=2000)
     wide = events_wide(spark, sf_dir).withColumn("version_ts", F.col("version_ts").cast("timestamp"))
     part = F.pmod(F.xxhash64("row_key", "version_ts", "k"), F.lit(3))

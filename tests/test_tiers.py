@@ -8,7 +8,9 @@ import pytest
 from stratiform.operators import puts
 from stratiform.operators.cells import wide_to_cells
 from stratiform.plans import serving
+from stratiform.plans import tiers as tiers_module
 from stratiform.plans.tiers import Tiers
+from stratiform.registry import history
 
 FAMILIES = {"f": ["a", "b"], "w": ["c"]}
 WIDE = "row_key string, a string, b string, c string, version_ts timestamp"
@@ -109,3 +111,15 @@ def test_an_empty_table(spark, tmp_path):
     tiers.merge()
     tiers.compact()
     assert tiers.scan(FAMILIES).count() == 0 and tiers.cells().count() == 0
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert tiers_module.buckets_for(events, 8) == history._tiers(spark, sf_dir).buckets
+    assert [tiers_module.buckets_for(rows, 8) for rows in (0, 1_600_000, 1_600_001, 36_000_000)] == [8, 8, 9, 180]
+    monkeypatch.setattr(tiers_module, "BUCKET_ROWS", events // 20)
+    assert history._tiers(spark, sf_dir).buckets >= 20
+    found = history.serving_value_lookup(spark, sf_dir)
+    monkeypatch.undo()
+    assert sorted(map(str, found.collect())) == sorted(map(str, history.serving_value_lookup(spark, sf_dir).collect()))
