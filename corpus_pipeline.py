@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratiform.llm import decontam, mixing, neardup, quality, wavelet
 from stratiform.llm.queries import tokenizer_path
-from stratiform.session import broadcast_within, new_path, scratch, stage
+from stratiform.session import bounded_batches, broadcast_within, new_path, scratch, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +68,22 @@ def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(stage(rows, "dropped"), mixing.draw() == F.col("_row"), "left_anti")
 
 
+def _bounded(stage_of):
+    """A stage whose batches to Python are of bounded size."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage_of(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
-    ("tokens", token_stage),
+    ("quality", _bounded(quality_stage)),
+    ("near_duplicates", _bounded(near_duplicate_stage)),
+    ("decontamination", _bounded(decontamination_stage)),
+    ("mixing", _bounded(mixing_stage)),
+    ("tokens", _bounded(token_stage)),
 ]
 
 # Learned scores are no SQL; the stages are tested against brute force instead.

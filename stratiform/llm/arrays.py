@@ -7,6 +7,7 @@ billion different words agree with a probability of about 3 in 100.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -234,5 +235,14 @@ def mapper(function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | None]]
             for out in function(batch):
                 if out is not None and out.num_rows:
                     yield out
+        release()
 
     return run
+
+
+def release() -> None:
+    """Give freed memory back to the machine: a worker outlives its task and waits beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

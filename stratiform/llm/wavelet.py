@@ -319,6 +319,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, shard_toke
                     ids, doc_ids, sizes, total, piece = [], [], [], 0, piece + 1
         if doc_ids:
             yield flush()
+        ids.clear()
+        arrays.release()
 
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col("text")]
     dealt = docs.select("doc_id", "text").repartitionByRange(*order[:3]).sortWithinPartitions(*order)
@@ -358,6 +360,7 @@ def read(written: Written) -> DataFrame:
     def each(batches):
         for batch in batches:
             yield from run(batch)
+        arrays.release()
 
     rows = positioned(written.shards).select("file", "start")
     shards = rows.repartition(max(1, written.shards.count()), "file")  # a number, or AQE puts the short rows together

@@ -1,9 +1,11 @@
+import pyarrow as pa
 import pytest
 from helpers import awkward, doc, frame, words
 from test_neardup import shingle_set
 from test_wavelet import expected, plain  # noqa: F401
 
 import corpus_pipeline
+from stratiform.llm import wavelet
 from stratiform.session import new_path
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -117,3 +119,17 @@ def test_decisions_hold_for_rows_without_id_and_repeated_ids(spark, tmp_path):
     clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
     assert clean.schema == docs.schema
     assert sorted(map(str, pairs(clean))) == sorted(str((r[0], r[1])) for r in rows if item not in (r[1] or ""))
+
+
+def test_batches_to_python_are_bounded(spark, monkeypatch):
+    """Rows of texts, fewer than the records of a batch, come in several batches."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    monkeypatch.setattr(wavelet, "write", lambda docs, path: docs)
+    monkeypatch.setattr(wavelet, "read", lambda docs: docs.mapInArrow(sizes, "n long"))
+    docs = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
+    found = [row.n for row in dict(corpus_pipeline.STAGES)["tokens"](spark, docs, SF_DIR).collect()]
+    assert sum(found) >= 3000 * 10_000 and max(found) <= 1.5 * 8 * 1024 * 1024
