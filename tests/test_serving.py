@@ -1,12 +1,13 @@
 """Cells: publishing, versions, scans and reports."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from stratiform.functions.casting import bind_by_name, parsed_text
-from stratiform.operators import filter_wide, merge_cells, wide_to_cells, wide_view
+from stratiform.operators import filter_wide, merge_cells, puts, wide_to_cells, wide_view
 from stratiform.plans import reports, serving
 from stratiform.plans.fixed import SERVING_FAMILIES
 
@@ -139,6 +140,23 @@ def test_mean_delay(spark, published):
     assert [tuple(row) for row in skipping] == [("0", 7.0), ("KRK", None), ("WAW", 15.0)]
 
 
+def test_a_report_exchanges_the_cells_it_lists(spark, published):
+    listed = reports.families("departure_iata", "departure_rain", "arrival_delay")
+    chosen = serving.scan(spark, published, listed, where=("departure_iata", "WAW"))
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = next(k for k, line in enumerate(plan) if "Join LeftAnti" in line)
+    assert re.search(r"Project \[row_key#\d+, version_ts#\d+, CASE", plan[joined + 1])
+    assert view(chosen) == {
+        f"row{k}_2023-12-01 00:00:00": v for k, v in {"A": ("10", "WAW", "0.5"), "B": ("20", "WAW", None)}.items()
+    } | {"rowNone_None": ("7", None, "2.0")}
+
+
+def test_puts_have_no_nulls_and_their_names_in_order(spark):
+    wide = spark.createDataFrame([("r1", "1", None, "", T1), ("r2", None, None, None, T1), ("r3", None, "b", None, T1)], WIDE)
+    made = sorted((r.row_key, r.family, list(r.cells.items())) for r in puts.wide_to_puts(wide, {**FAMILIES, "none": []}).collect())
+    assert made == [("r1", "f", [("a", "1")]), ("r1", "w", [("c", "")]), ("r3", "f", [("b", "b")])]
+
+
 def test_cells_are_text(spark, published):
     assert dict(serving.read_cells(spark, published).dtypes)["value"] == "string"
     assert dict(spark.read.parquet(published).dtypes)["cells"] == "map<string,string>"
