@@ -24,7 +24,8 @@ from stratiform.registry.inputs import (
     table,
     trips,
 )
-from stratiform.session import new_path, stage
+from stratiform.session import new_path, scratch, stage
+from stratiform.sinks import delete_folder
 from stratiform.sources.envelope import list_files
 from stratiform.streaming import (
     Range,
@@ -102,20 +103,28 @@ def _stream_in_order(
 
     There are more batches if they would have more than ``batch_rows`` rows, as a batch waits in state as a whole.
     Every batch has the same number of files, as many as its rows need; files without rows fill up short ones.
+    The rows are dealt into folders by batch in one pass, so a batch is written without reading the others.
     """
-    path, df = new_path(spark, label), stage(df, label)
-    count = df.count()
-    parts = max(parts, -(-count // batch_rows))
-    seconds = F.unix_seconds(F.col(time).cast("timestamp"))
-    cuts = df.select(seconds.alias("s")).approxQuantile("s", [k / parts for k in range(1, parts)], min(0.01, 0.1 / parts))
-    part = sum((F.when(seconds >= F.lit(cut), 1).otherwise(0) for cut in cuts), F.lit(0))
+    path, apart = new_path(spark, label), new_path(spark, label)
+    with scratch(spark):
+        df = stage(df, label)
+        count = df.count()
+        parts = max(parts, -(-count // batch_rows))
+        seconds = F.unix_seconds(F.col(time).cast("timestamp"))
+        cuts = df.select(seconds.alias("s")).approxQuantile("s", [k / parts for k in range(1, parts)], min(0.01, 0.1 / parts))
+        part = sum((F.when(seconds >= F.lit(cut), 1).otherwise(0) for cut in cuts), F.lit(0))
+        numbered = df.withColumn("_part", part)
+        numbered.write.partitionBy("_part").parquet(apart)
+    dealt = spark.read.schema(numbered.schema).parquet(apart)
     files = max(1, -(-count // (parts * file_rows)))
     nothing = spark.createDataFrame([], df.schema).coalesce(1)
     for k in range(parts):
-        rows = df.where(part == k)
+        rows = dealt.where(F.col("_part") == k).drop("_part")
         (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(path)
+        delete_folder(spark, f"{apart}/_part={k}")
         for _ in range((k + 1) * files - list_files(spark, f"{path}/*.parquet").count()):
             nothing.write.mode("append").parquet(path)
+    delete_folder(spark, apart)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 

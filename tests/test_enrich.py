@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from stratiform.registry import streams as streams_queries
 from stratiform.registry.streams import _stream_in_order
 from stratiform.session import new_path
 from stratiform.streaming import Range, enrich, enriched, late_rows, read_enriched
@@ -131,3 +132,23 @@ def test_batches_in_order_are_as_many_as_rows_need(spark):
     times = [[at for _, at in batch if at is not None] for batch in batches]
     times = [batch for batch in times if batch]
     assert all(max(one) <= min(next_one) for one, next_one in zip(times, times[1:], strict=False))
+
+
+def test_batches_in_order_are_made_in_one_pass(spark, monkeypatch):
+    """The time of a row is read for the cuts and for its batch, however many batches there are."""
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(time):
+        read.add(1)
+        return time
+
+    staged = streams_queries.stage
+    counting = F.udf(noted, "timestamp").asNondeterministic()
+    monkeypatch.setattr(streams_queries, "stage", lambda df, label: staged(df, label).withColumn("at", counting("at")))
+    df = spark.sql("SELECT id, timestamp_seconds(id) AS at FROM range(400)")
+    stream = _stream_in_order(spark, df, "at", "one-pass", 2, batch_rows=20)
+    assert read.value <= 3 * 400
+    state, found = new_path(spark, "one-pass-state"), []
+    write = stream.writeStream.foreachBatch(lambda batch, _: found.append(sorted(row.id for row in batch.collect())))
+    write.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    assert len(found) == 20 and sum(found, []) == list(range(400))
